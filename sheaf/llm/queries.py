@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytecnn, langid, mpegts, ngramjoin, packing, piececodec, rules, tokencount
+from . import bytecnn, langid, mpegts, ngramjoin, packing, piececodec, rules, substrdedup, tokencount
 
 
 def tokenizer_path(name: str) -> str:
@@ -57,9 +57,13 @@ def op8_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(docs, forest, threshold).drop("anomaly")
 
 
+def op9_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrdedup.remove_repeats(read(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_mixture, op2_transport_stream, op3_byte_cnn, op5_jaccard_join, op6_certified_packing, op7_piece_codec, op8_rule_forest, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_mixture, op2_transport_stream, op3_byte_cnn, op5_jaccard_join, op6_certified_packing, op7_piece_codec, op8_rule_forest, op9_block_anchors, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
