@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytecnn, langid, mpegts, ngramjoin, packing, piececodec, rules, substrdedup, tokencount
+from . import bytecnn, langid, mpegts, ngramjoin, packing, piececodec, rules, substrdedup, suffixdedup, tokencount
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,6 +39,10 @@ def op3_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.score_quality(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(read(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.similar_documents(read(spark, sf_dir, "documents"))
 
@@ -65,5 +69,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_mixture, op2_transport_stream, op3_byte_cnn, op5_jaccard_join, op6_certified_packing, op7_piece_codec, op8_rule_forest, op9_block_anchors, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_mixture, op2_transport_stream, op3_byte_cnn, op4_suffix_dedup, op5_jaccard_join, op6_certified_packing, op7_piece_codec, op8_rule_forest, op9_block_anchors, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
