@@ -63,24 +63,42 @@ def maybe(found: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
     return (found[(place >> U64(3)).astype(np.int64)] >> (place & U64(7)).astype(np.uint8)) & 1 > 0
 
 
-def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs (its first column is doc_id) whose doc_id is in ids (doc_id), and perhaps some others."""
+def _bitmap_of(ids: DataFrame) -> tuple[np.ndarray, int]:
     bits = bits_for(ids.count(), most=26)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield sparse(mix(batch.column(0).to_numpy().view(np.uint64)), bits)
 
-    found = bitmap(ids.mapInArrow(places, "slice int, places binary"), bits)
+    return bitmap(ids.mapInArrow(places, "slice int, places binary"), bits), bits
+
+
+def _passed(docs: DataFrame, found: np.ndarray, bits: int, wanted: bool) -> DataFrame:
+    column = docs.columns.index("doc_id")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = maybe(found, bits, mix(batch.column(0).to_numpy().view(np.uint64)))
+            ids = batch.column(column)
+            null = ids.is_null().to_numpy(zero_copy_only=False)
+            ok = maybe(found, bits, mix(ids.fill_null(0).cast(pa.int64()).to_numpy().view(np.uint64))) & ~null
+            ok = ok == wanted
             if ok.any():
                 yield batch.filter(pa.array(ok))
 
     return docs.mapInArrow(keep, docs.schema)
 
 
+def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids (doc_id), and perhaps some others."""
+    return _passed(docs, *_bitmap_of(ids), wanted=True)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in ids (doc_id). Only rows that may be in them are shuffled."""
+    found, bits = _bitmap_of(ids)
+    unsure = _passed(docs, found, bits, wanted=True).join(ids, "doc_id", "left_anti").select(docs.columns)
+    return _passed(docs, found, bits, wanted=False).unionByName(unsure)
+
+
 def by_key(slices: DataFrame) -> DataFrame:
     return slices.where(F.col("slice").isNotNull()).select("slice", "places")

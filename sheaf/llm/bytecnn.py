@@ -170,3 +170,15 @@ def score_quality(docs: DataFrame, model: ByteCnn, threshold: float = 0.3) -> Da
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=out)
 
     return docs.select("doc_id", "text").mapInArrow(predict, "doc_id long, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: ByteCnn, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all columns, that score threshold at least."""
+    column = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, 1 << 20, 5_000):
+                yield part.filter(pa.array(model.score(texts_of(part.column(column))) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -160,6 +160,21 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(predict, schema)
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel, least_share: float = 0.5) -> DataFrame:
+    """The rows of docs, with all columns, whose text has a letter and a language of least_share of it at least."""
+    column = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, 2 << 20, 256):
+                texts = texts_of(part.column(column))
+                letters = pc.match_substring_regex(part.column(column), r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
+                share = model.infer(trigram_counts(texts, slice(0, len(texts)))).max(1, initial=0)
+                yield part.filter(pa.array(letters & (share >= least_share)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id", folds: int = 3, fold: int = 1):
     """Whether crc32 of doc_id as text leaves fold when divided by folds; false for a null."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._filters import rows_of
+from ._filters import rows_of, without
 from ._induced import repeated, words_at
 from ._store import written
 from ._text import U64, Texts, chunks, mix, texts_of
@@ -246,3 +246,22 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_text: bool = True, m
         sha.alias("kept_sha256"),
         *([F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if keep_text else []),
     )
+
+
+def cleaned(docs: DataFrame, length: int = 200) -> DataFrame:
+    """The rows of docs, with all columns; text is what is left of it, without characters that lost some of their bytes.
+
+    Rows that lose their whole text go. A column n_chars is counted anew. Rows without a doc_id stay as they are.
+    """
+    changed = written(remove_repeats(docs, length).where("n_removed > 0").select("doc_id", "kept"), "changed")
+    out = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.as_buffer().to_pybytes().decode("utf-8", "ignore") for x in batch.column(1)], pa.string())], schema=out)
+
+    left = changed.where("octet_length(kept) > 0").mapInArrow(decode, "doc_id long, text string")
+    left = docs.drop("text").join(left, "doc_id")
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return without(docs, changed.select("doc_id")).unionByName(left.select(docs.columns))
