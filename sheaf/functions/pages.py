@@ -15,7 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
+from .text import let
 from .vectors import zeros
 
 LAYOUT_SIZE, VISUAL_SIZE, GRID = 14, 17, 96
@@ -71,12 +73,12 @@ def layout_of(boxes: np.ndarray) -> list[float]:
     return [float(np.log1p(len(x))), *(float(s.mean()) for s in shares), *map(float, tail)]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ocr_text(payloads: pd.Series) -> pd.Series:
     return payloads.map(text_in, na_action=None)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def ocr_layout(payloads: pd.Series) -> pd.Series:
     return pd.Series([layout_of(boxes_in(p)) for p in payloads])
 
@@ -107,10 +109,14 @@ def ocr_layout_of_lines(payload: Column) -> Column:
     words = F.coalesce(F.from_json(payload, LINES)["lines_data"], F.array().cast(LINES[LINES.index("array") : -1]))
     words = F.filter(words, lambda v: F.forall(F.array(*(v[c] for c in CORNERS)), lambda c: c.isNotNull()))
     box = F.transform(words, lambda v: F.struct(((v["X1"] + v["X3"]) / 2).alias("x"), ((v["Y1"] + v["Y3"]) / 2).alias("y"), F.abs(v["X3"] - v["X1"]).alias("w"), F.abs(v["Y3"] - v["Y1"]).alias("h")))
+    return let(box, _box_layout)
+
+
+def _box_layout(box: Column) -> Column:
     n = F.size(box).cast("double")
-    total = lambda f: F.aggregate(F.transform(box, f), F.lit(0.0), lambda s, v: s + v)
+    total = lambda f: F.aggregate(box, F.lit(0.0), lambda s, b: s + f(b))
     share = lambda p: total(lambda b: F.when(p(b), 1.0).otherwise(0.0)) / n
-    mean_y = total(lambda b: b["y"]) / n
+    deviation = let(total(lambda b: b["y"]) / n, lambda mean: F.sqrt(total(lambda b: (b["y"] - mean) * (b["y"] - mean)) / n))
     values = [
         F.log1p(n),
         share(lambda b: b["y"] < 0.20),
@@ -119,8 +125,8 @@ def ocr_layout_of_lines(payload: Column) -> Column:
         share(lambda b: b["x"] > 0.70),
         share(lambda b: (b["x"] < 0.40) & (b["y"] < 0.20)),
         share(lambda b: (b["y"] >= 0.30) & (b["y"] <= 0.70)),
-        mean_y,
-        F.sqrt(total(lambda b: (b["y"] - mean_y) * (b["y"] - mean_y)) / n),
+        total(lambda b: b["y"]) / n,
+        deviation,
         total(lambda b: b["x"]) / n,
         F.array_min(F.transform(box, lambda b: b["y"])),
         F.array_max(F.transform(box, lambda b: b["y"])),
@@ -142,7 +148,7 @@ def visual_of(grid: np.ndarray, width: int, height: int) -> list[float]:
 def image_features(decode: Callable[[bytes], tuple[np.ndarray, int, int]]):
     """A UDF from image bytes to visual_of. decode gives the grid, width and height; no bytes or any error of it give zeros."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(ArrayType(DoubleType()))
     def visual(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             out = []

@@ -25,6 +25,11 @@ CROSS_FEATURES = [
 ]
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once for a row even where body uses it in a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends; Spark's trim would take blanks only."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -32,10 +37,13 @@ def strip(text: Column) -> Column:
 
 def char_ngrams(text: Column, n: int) -> Column:
     """The distinct n-character strings of the stripped text; of a shorter one itself, of an empty one nothing."""
-    t = strip(text)
-    last = F.greatest(F.length(t) - n + 1, F.lit(1))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(t, i, F.lit(n))))
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < n, F.array(t)).otherwise(grams)
+
+    def grams(t: Column) -> Column:
+        last = F.greatest(F.length(t) - n + 1, F.lit(1))
+        all_grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(t, i, F.lit(n)))
+        return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < n, F.array(t)).otherwise(F.array_distinct(all_grams))
+
+    return let(strip(text), grams)
 
 
 def head_words(text: Column, n: int = 300) -> Column:

@@ -11,13 +11,24 @@ from . import metrics, streams
 def labelled_pairs(model, pages: DataFrame) -> DataFrame:
     """stream_id, pos, truth and pred of all pages."""
     found = model.predict(pages).select("stream_id", "pos", F.col("pred").alias("boundary"))
-    return metrics.paired(pages, found)
+    return metrics.side_by_side(pages, found)
+
+
+def _report(found: DataFrame, *keys: str, of: DataFrame | None = None) -> list[Row]:
+    """The report's rows (few); the labels are made once, since every metric reads them."""
+    found = found.persist()
+    try:
+        metrics.checked(found)
+        return metrics.report(found, *keys, of=of).collect()
+    finally:
+        found.unpersist()
 
 
 def evaluate(model, pages: DataFrame) -> DataFrame:
     """One row: n_streams, page_f1_mean, pq_mean, stp, mndd_mean."""
     streams.require_streams(pages, labelled=True)
-    return metrics.report(labelled_pairs(model, pages))
+    schema = "n_streams long, page_f1_mean double, pq_mean double, stp double, mndd_mean double"
+    return pages.sparkSession.createDataFrame(_report(labelled_pairs(model, pages)), schema)
 
 
 def walk_forward(models: list, pages: DataFrame) -> list[Row]:
@@ -33,12 +44,12 @@ def walk_forward(models: list, pages: DataFrame) -> list[Row]:
     for m in models:
         if not hasattr(m, "fit"):
             later = pages.where(F.col("slice_id") > slices[0][0])
-            fixed[m.name] = {r["slice_id"]: r for r in metrics.report(labelled_pairs(m, later), "slice_id", of=later).collect()}
+            fixed[m.name] = {r["slice_id"]: r for r in _report(labelled_pairs(m, later), "slice_id", of=later)}
     out = []
     for i in range(len(slices) - 1):
         train, test = pages.where(F.col("slice_id") <= slices[i][0]), pages.where(F.col("slice_id") == slices[i + 1][0])
         for m in models:
-            r = fixed[m.name][slices[i + 1][0]] if m.name in fixed else metrics.report(labelled_pairs(m.fit(train), test)).first()
+            r = fixed[m.name][slices[i + 1][0]] if m.name in fixed else _report(labelled_pairs(m.fit(train), test))[0]
             out.append(Row(model=m.name, train_slices=[s[1] for s in slices[: i + 1]], test_slice=slices[i + 1][1], n_streams=r["n_streams"], page_f1_mean=r["page_f1_mean"], pq_mean=r["pq_mean"], stp=r["stp"], mndd_mean=r["mndd_mean"]))
     return out
 

@@ -9,19 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .streams import document_ids, spans
+from .streams import document_ids
+
+
+def side_by_side(truth: DataFrame, pred: DataFrame) -> DataFrame:
+    """Two labellings (stream_id, pos, boundary); null where one lacks a page."""
+    return truth.select("stream_id", "pos", F.col("boundary").alias("truth")).join(pred.select("stream_id", "pos", F.col("boundary").alias("pred")), ["stream_id", "pos"], "full")
 
 
 def paired(truth: DataFrame, pred: DataFrame) -> DataFrame:
-    """Two labellings (stream_id, pos, boundary) of the same pages side by side."""
-    both = truth.select("stream_id", "pos", F.col("boundary").alias("truth")).join(pred.select("stream_id", "pos", F.col("boundary").alias("pred")), ["stream_id", "pos"], "full")
-    return checked(both)
+    """side_by_side, if both label the same pages."""
+    return checked(side_by_side(truth, pred))
 
 
 def checked(pages: DataFrame) -> DataFrame:
     """pages, if no label is missing and every stream opens with boundaries in both."""
     bad = F.col("truth").isNull() | F.col("pred").isNull() | ((F.col("pos") == 0) & ~(F.col("truth") & F.col("pred")))
-    opens = pages.agg(F.count_if(bad).alias("bad"), F.count_distinct("stream_id").alias("n"), F.count_if("pos = 0").alias("opens")).first()
+    opens = pages.agg(F.count_if(bad).alias("bad"), F.count_distinct("stream_id").alias("n"), F.count_if(F.col("pos") == 0).alias("opens")).first()
     if not opens["n"]:
         raise ValueError("there are no streams")
     if opens["bad"] or opens["opens"] != opens["n"]:
@@ -102,4 +106,4 @@ def report(pages: DataFrame, *keys: str, of: DataFrame | None = None) -> DataFra
     return rows.groupBy(*keys).agg(*means) if keys else rows.agg(*means)
 
 
-__all__ = ["checked", "drags", "exact", "page_scores", "paired", "panoptic", "per_stream", "report", "spans"]
+__all__ = ["checked", "drags", "exact", "page_scores", "paired", "panoptic", "per_stream", "report", "side_by_side"]

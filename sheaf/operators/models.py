@@ -36,6 +36,11 @@ class TrainableModel(Model, Protocol):
     def fit(self, pages: DataFrame) -> TrainableModel: ...
 
 
+def compact(data: DataFrame, rows: int = 20_000) -> DataFrame:
+    """data in partitions of about `rows` rows, no more than it has: learners run a job for each step, and small tasks cost most of it."""
+    return data.coalesce(max(1, data.count() // rows))
+
+
 class EveryPage:
     name = "every_page"
 
@@ -86,7 +91,9 @@ class PairTrees:
         base, w = pages, streams.in_order()
         arrays = []
         lagged = lambda c: (F.lag(c).over(w), F.col(c))
-        base = streams.positions(base).withColumn("cut", T.truncate(F.col("text")))
+        base = streams.positions(base)
+        if self.use_text:
+            base = base.withColumn("cut", T.truncate(F.col("text")))
         for block in self.blocks:
             if block == "page":
                 base = base.withColumn("page_f", T.page_features(F.col("text")))
@@ -136,7 +143,7 @@ class PairTrees:
             self.vocab = pages.sparkSession.createDataFrame(rows, schema)
         data = self.features(pages).withColumn("label", F.col("boundary").cast("double")).persist()
         try:
-            self.model = self._learn(data)
+            self.model = self._learn(compact(data))
         finally:
             data.unpersist()
         return self
@@ -249,7 +256,7 @@ class Stacked:
             probs = self.model.predict(pages).select(*KEY, "prob")
         data = self._rows(probs).join(pages.select(*KEY, F.col("boundary").cast("double").alias("label")), KEY).where("pos >= 1").persist()
         try:
-            self.top = LogisticRegression(regParam=1.0 / max(1, data.count()), elasticNetParam=0.0, standardization=False, maxIter=2000).fit(data)
+            self.top = LogisticRegression(regParam=1.0 / max(1, data.count()), elasticNetParam=0.0, standardization=False, maxIter=2000).fit(compact(data))
         finally:
             data.unpersist()
         return self

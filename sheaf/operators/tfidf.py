@@ -12,15 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
 def terms(text: Column) -> Column:
     """Words and pairs of neighbouring words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    n = F.size(words)
-    two = F.transform(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
-    return F.concat(words, two)
+
+    def both(words: Column) -> Column:
+        second = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+        pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), second, lambda a, b: F.concat_ws(" ", a, b))
+        return F.concat(words, pairs)
+
+    return let(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), both)
 
 
 def counted(texts: DataFrame, *key: str, text: str = "text") -> DataFrame:

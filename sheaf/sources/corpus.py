@@ -116,7 +116,7 @@ def from_rows(rows: DataFrame, namespace: str, boundaries: str = "boundaries", s
     ids = F.col(page_ids).cast("array<string>") if page_ids else F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.concat(sid, F.lit("/"), k.cast("string")))
     ids = F.when(n > 0, ids).otherwise(F.raise_error("a stream must have a page").cast("array<string>"))
     parts = [F.col(boundaries).cast("array<boolean>").alias("boundary"), ids.alias("id"), (F.col(texts).cast("array<string>") if texts else F.array_repeat(F.lit(None).cast("string"), n)).alias("text")]
-    long = rows.select(sid.alias("stream_id"), F.posexplode(F.arrays_zip(*parts)).alias("pos", "x"))
+    long = rows.select(sid.alias("sid"), F.posexplode(F.arrays_zip(*parts)).alias("pos", "x")).withColumnRenamed("sid", "stream_id")
     long = long.select("stream_id", F.col("pos").cast("long").alias("pos"), F.concat(F.lit(f"{namespace}:"), F.col("x.id")).alias("source"), F.lit(0).cast("long").alias("page"), F.col("x.boundary").alias("boundary"), F.col("x.text").alias("text"))
     text = last_wins(long.select(*KEY, "text", F.struct("stream_id", "pos").alias("at")), KEY, "at").select(*KEY, "text") if texts else long.select(*KEY, "text").limit(0)
     return Corpus(long.drop("text"), text)
