@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[dict[str, SparkSession]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset, as in tests, a folder of our own."""
@@ -22,4 +26,49 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sheaf_path = path
+    if _scopes:
+        _scopes[-1][path] = spark
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables on which nothing depends any more.
+
+    Shuffle files of the plans that made them go when the driver collects its garbage, so that is asked for.
+    """
+    for table in tables:
+        path, spark = table._sheaf_path, table.sparkSession
+        for scope in _scopes:
+            scope.pop(path, None)
+        _delete(spark, path)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
+@contextmanager
+def scratch() -> Iterator:
+    """Tables written inside go at its end, but for those given to the function it yields; they belong to the scope around."""
+    scope: dict[str, SparkSession] = {}
+    _scopes.append(scope)
+
+    def keep(table: DataFrame) -> DataFrame:
+        scope.pop(table._sheaf_path, None)
+        if len(_scopes) > 1:
+            _scopes[-2][table._sheaf_path] = table.sparkSession
+        return table
+
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for path, spark in scope.items():
+            _delete(spark, path)
+        for spark in list(scope.values())[:1]:
+            spark._jvm.System.gc()

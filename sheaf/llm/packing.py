@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import scratch, written
 from ._text import SPACE, Texts, chunks, texts_of
 
 #: Texts with a longer run of white space or of other bytes go to the slower library, whose time doesn't grow with the square of it.
@@ -195,4 +195,5 @@ def pack(pieces: DataFrame, size: int = 2048, per_partition: int = 1 << 25, most
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> DataFrame:
-    return pack(written(cut_pieces(docs, path, size, end_id), "pieces"), size)
+    with scratch() as keep:
+        return keep(written(pack(written(cut_pieces(docs, path, size, end_id), "pieces"), size), "sequences"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._filters import bitmap, bits_for, by_key, maybe, rows_of, sparse
-from ._store import written
+from ._store import discard, scratch, written
 from ._text import ODD, U64, Texts, Words, chunks, covered, mix, texts_of, window_hashes
 
 SECOND = 0xC2B2AE3D27D4EB4F | 1
@@ -167,6 +167,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = True) ->
     """doc_id, n_words, n_removed and kept_sha256; with keep_text also kept, null where nothing was removed."""
     if window < 2 or window % 2:
         raise ValueError("window must be an even number of words")
+    with scratch() as keep:
+        return keep(written(_remove(docs, window, keep_text), "left"))
+
+
+def _remove(docs: DataFrame, window: int, keep_text: bool) -> DataFrame:
     k = window // 2
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -182,12 +187,14 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = True) ->
     shared = probes.groupBy("h").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("h")
     hits = probes.join(shared, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("hits")).join(reps, "doc_id")
     hits = written(hits, "hits")
+    discard(probes)
 
     part = rows_of(docs, hits.select("doc_id")).join(hits, "doc_id").select("doc_id", "text", "hits")
     windows = written(part.mapInArrow(_candidates(k), "k1 long, k2 long, doc_id long, pos int"), "windows")
     least = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     again = windows.join(least, ["k1", "k2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
     again = written(again, "repeats")
+    discard(windows)
 
     cut = rows_of(docs, again.select("doc_id")).join(again, "doc_id").select("doc_id", "text", "starts").mapInArrow(_cut(k), "doc_id long, n_removed long, kept_sha256 string, kept string")
     if not keep_text:

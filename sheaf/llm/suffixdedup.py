@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._filters import rows_of, without
 from ._induced import repeated, words_at
-from ._store import written
+from ._store import discard, scratch, written
 from ._text import U64, Texts, chunks, mix, texts_of
 
 GRAM = 24
@@ -202,6 +202,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_text: bool = True, m
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256; with keep_text also kept, null where nothing was removed."""
     if length % 8 or length < 2 * GRAM:
         raise ValueError(f"length must be a multiple of 8 and {2 * GRAM} at least")
+    with scratch() as keep:
+        return keep(written(_remove(docs, length, keep_text, most, shard_bytes), "left"))
+
+
+def _remove(docs: DataFrame, length: int, keep_text: bool, most: int, shard_bytes: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     known = docs.mapInArrow(_profile, "doc_id long, n long, hi long, lo long, sha binary")
     known = written(known.groupBy("doc_id").agg(F.max(F.struct("n", "hi", "lo", "sha")).alias("s")).select("doc_id", "s.*"), "profiles")
@@ -214,6 +219,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_text: bool = True, m
     shared = shared.where((F.col("x") != F.col("y")) | F.col("twice")).select("m", "times")
     reps = known.where(F.col("own") & (F.col("n") >= length)).select("doc_id", F.col("hi").alias("cls"))
     wanted = written(rows.join(shared, "m").join(reps, ["doc_id", "cls"]).select("m", "times", "doc_id", "at", "n"), "wanted")
+    discard(rows)
     total = wanted.agg(F.coalesce(F.sum(F.col("n") + length), F.lit(0))).first()[0]
     shard = F.when(F.col("times") > most, F.lit(-1)).otherwise(F.pmod(F.xxhash64("m"), F.lit(max(1, -(-total // shard_bytes))))).cast("int")
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", shard.alias("shard"))).alias("wanted"))
@@ -230,6 +236,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_text: bool = True, m
         found = hot.join(twice, ["k1", "k2"], "left_semi").select("doc_id", "at").mapInArrow(_hot_runs, "doc_id long, at long, n long")
         spans = spans.unionByName(found)
     spans = written(spans.join(known.where("members = 1").select("doc_id"), "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "spans")
+    discard(wanted)
     cut = rows_of(docs, spans.select("doc_id")).join(spans, "doc_id").join(known.select("doc_id", F.col("n").alias("size")), "doc_id").where("octet_length(text) = size").select("doc_id", "text", "spans")
     cut = cut.mapInArrow(_cut(length), "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if not keep_text:
@@ -253,7 +260,8 @@ def cleaned(docs: DataFrame, length: int = 200) -> DataFrame:
 
     Rows that lose their whole text go. A column n_chars is counted anew. Rows without a doc_id stay as they are.
     """
-    changed = written(remove_repeats(docs, length).where("n_removed > 0").select("doc_id", "kept"), "changed")
+    with scratch() as keep:
+        changed = keep(written(remove_repeats(docs, length).where("n_removed > 0").select("doc_id", "kept"), "changed"))
     out = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
