@@ -70,4 +70,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_mixture, op2_transport_stream, op3_byte_cnn, op4_suffix_dedup, op5_jaccard_join, op6_certified_packing, op7_piece_codec, op8_rule_forest, op9_block_anchors, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+ORACLE_SQL: dict[str, str] = {
+    "op5_jaccard_join": f"""with recursive w as (select doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as t from documents),
+s as (select distinct doc_id, unnest(case when len(t) >= 3 then [t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] for i in range(1, len(t) - 1)] when len(t) > 0 then [array_to_string(t, ' ')] else []::varchar[] end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 70 * (x.n + y.n - shared)),
+e as (select a, b from l union all select b, a from l), d as (select a as doc_id, count(*) as n_similar from e group by a),
+r(doc_id, other) as (select a, b from e union select r.doc_id, e.b from r join e on e.a = r.other), c as (select doc_id, least(doc_id, min(other)) as component_id from r group by doc_id)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(n_similar, 0) as n_similar, coalesce(component_id, w.doc_id) as component_id from w left join n using (doc_id) left join d using (doc_id) left join c using (doc_id)""",
+    "op9_block_anchors": f"""with w as (select doc_id, {_WORDS.format("coalesce(text, '')")} as t from documents),
+x as (select doc_id, i, md5(array_to_string(t[i : i + 49], ' ')) as h from (select doc_id, t, unnest(range(1, greatest(len(t) - 48, 1))) as i from w)),
+f as (select h, min(doc_id) as least from x group by h), g as (select distinct doc_id, i + k as i from x join f using (h), range(50) k(k) where doc_id > least),
+o as (select doc_id, unnest(t) as word, unnest(range(1, len(t) + 1)) as i from w),
+k as (select doc_id, string_agg(word, ' ' order by i) as kept, count(*) as n from o anti join g using (doc_id, i) group by doc_id)
+select w.doc_id, len(t)::bigint as n_words, len(t)::bigint - coalesce(k.n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join k using (doc_id)""",
+}
