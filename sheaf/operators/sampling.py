@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.vectors import uniform
 from .streams import ordinals
 
+#: Documents whose hashes are sorted at once for a stream.
+PART = 4096
+
 
 def poisson(mean: float, seed: int, key: Column, tag: str = "poisson") -> Column:
     """A Poisson number for each key: how many draws fit before their product falls to e ** -mean."""
@@ -33,8 +36,8 @@ def poisson(mean: float, seed: int, key: Column, tag: str = "poisson") -> Column
 def stream_specs(docs: DataFrame, n_streams: int, mean_docs: float, seed: int = 0, doc: str = "source") -> DataFrame:
     """stream_id, doc_ord and a document: in each of n_streams a Poisson number of distinct documents, one at least.
 
-    A stream's k-th choice is a position in the pool's order (by hash); one that came before in the
-    stream is passed over for the next hash. So a stream costs its own length, not the pool's.
+    A stream's choices are the documents of lowest hash of stream and place in the pool's order, whatever the pool's
+    size. So every stream hashes the whole pool, in parts: no array or sort grows with it but by a part's first choices.
     """
     if n_streams < 1 or mean_docs <= 0:
         raise ValueError("n_streams must be 1 at least and mean_docs over 0")
@@ -46,14 +49,11 @@ def stream_specs(docs: DataFrame, n_streams: int, mean_docs: float, seed: int =
     streams = docs.sparkSession.range(n_streams).withColumnRenamed("id", "stream_id")
     wanted = F.least(F.greatest(poisson(mean_docs, seed, F.col("stream_id")), F.lit(1)), F.lit(n)).cast("int")
     picks = streams.withColumn("wanted", wanted)
-    # If most of a small pool is wanted, passing over takes long: order the pool itself then.
-    if n <= 64 or n < 4 * (mean_docs + 12 * math.sqrt(mean_docs) + 30):
-        places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(uniform(seed, "doc", F.col("stream_id"), k).alias("u"), k.cast("long").alias("k")))
-        chosen = F.transform(F.slice(F.array_sort(places), 1, F.col("wanted")), lambda s: s["k"])
-    else:
-        draws = F.transform(F.sequence(F.lit(0), 4 * F.col("wanted") + 64), lambda k: F.floor(uniform(seed, "doc", F.col("stream_id"), k) * n).cast("long"))
-        chosen = F.slice(F.array_distinct(draws), 1, F.col("wanted"))
-    rows = picks.select("stream_id", F.posexplode(chosen).alias("doc_ord", "ord"))
+    parts = docs.sparkSession.range(-(-n // PART)).select((F.col("id") * PART).alias("start"))  # one row for each PART documents
+    places = F.transform(F.sequence("start", F.least(F.col("start") + PART - 1, F.lit(n - 1))), lambda k: F.struct(uniform(seed, "doc", F.col("stream_id"), k).alias("u"), k.alias("ord")))
+    first = picks.crossJoin(F.broadcast(parts)).select("stream_id", "wanted", F.explode(F.slice(F.array_sort(places), 1, F.col("wanted"))).alias("s"))
+    order = F.row_number().over(W.partitionBy("stream_id").orderBy("s.u", "s.ord")) - 1
+    rows = first.withColumn("doc_ord", order).where("doc_ord < wanted").select("stream_id", "doc_ord", "s.ord")
     return rows.join(pool.drop("n_all"), "ord").select("stream_id", F.col("doc_ord").cast("long").alias("doc_ord"), doc)
 
 

@@ -1,4 +1,5 @@
 import random
+from hashlib import md5
 
 import numpy as np
 import pytest
@@ -69,6 +70,25 @@ def test_sampling(spark):
     assert folds.max() - folds.min() <= 1 and len(folds) == 5
 
 
+def lowest_hashes(seed: int, stream: int, n: int, mean: float) -> list[int]:
+    """A stream's documents in plain Python: Poisson many, those of lowest hash."""
+    u = lambda *key: int(md5("|".join(map(str, (seed, *key))).encode()).hexdigest()[:8], 16) / 2**32
+    product, wanted = u("poisson", stream, 0), 0
+    while product > np.exp(-mean):
+        wanted += 1
+        product *= u("poisson", stream, wanted)
+    return sorted(range(n), key=lambda k: (u("doc", stream, k), k))[: max(1, min(wanted, n))]
+
+
+@pytest.mark.parametrize("n", [40, 215, 1000, 9000])
+def test_one_draw_rule_for_every_pool_size(spark, n):
+    docs = spark.range(n).select((F.col("id") * 3).alias("source"))
+    got = {}
+    for r in sampling.stream_specs(docs, 20, 3.0, 5).orderBy("stream_id", "doc_ord").collect():
+        got.setdefault(r.stream_id, []).append((r.doc_ord, r.source))
+    assert got == {s: [(k, 3 * x) for k, x in enumerate(lowest_hashes(5, s, n, 3.0))] for s in range(20)}
+
+
 @pytest.fixture(scope="module")
 def learnable(spark):
     """Documents open with a title word."""
