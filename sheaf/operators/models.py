@@ -41,6 +41,13 @@ def compact(data: DataFrame, rows: int = 20_000) -> DataFrame:
     return data.coalesce(max(1, data.count() // rows))
 
 
+def spread(data: DataFrame, cells: int = 20_000_000) -> DataFrame:
+    """data (with features) for a tree learner, which holds every cell, zeros too: in partitions of about `cells` where compact's would hold more."""
+    first, rows = data.select("features").first(), data.count()
+    n = rows * (first[0].size if first else 0) // cells
+    return data.repartition(n, *KEY).sortWithinPartitions(*KEY) if n > max(1, rows // 20_000) else compact(data)
+
+
 class EveryPage:
     name = "every_page"
 
@@ -143,13 +150,13 @@ class PairTrees:
             self.vocab = pages.sparkSession.createDataFrame(rows, schema)
         data = self.features(pages).withColumn("label", F.col("boundary").cast("double")).persist()
         try:
-            self.model = self._learn(compact(data))
+            self.model = self._learn(data)
         finally:
             data.unpersist()
         return self
 
     def _learn(self, data: DataFrame):
-        return GBTClassifier(maxIter=self.trees, maxDepth=self.depth, stepSize=self.rate, seed=0, maxMemoryInMB=512).fit(data)
+        return GBTClassifier(maxIter=self.trees, maxDepth=self.depth, stepSize=self.rate, seed=0, maxMemoryInMB=512).fit(spread(data))
 
     def predict(self, pages: DataFrame) -> DataFrame:
         if self.model is None:
@@ -173,7 +180,7 @@ class PairLogistic(PairTrees):
 
     def _learn(self, data: DataFrame):
         n = max(1, data.count())
-        return LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000).fit(data)
+        return LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000).fit(compact(data))
 
 
 def load_model(spark, path: str) -> PairTrees:

@@ -506,6 +506,9 @@ def concat_streams(spark, d):
 
 # learning: no SQL for these
 
+#: Terms of the reference's models.
+VOCAB = 20_000
+
 
 def _report(spark, d, model, pages) -> DataFrame:
     split = streams.split_streams(pages, 0.8)
@@ -515,12 +518,12 @@ def _report(spark, d, model, pages) -> DataFrame:
 
 @query()
 def tfidf_gbt_eval(spark, d):
-    return _report(spark, d, models.build_model("tfidf-xgb", trees=5, vocab=500), X.conv_pages(spark, d))
+    return _report(spark, d, models.build_model("tfidf-xgb", vocab=VOCAB), X.conv_pages(spark, d))
 
 
 @query()
 def rich_gbt_eval(spark, d):
-    return _report(spark, d, models.build_model("tfidf-xgb-layout", trees=5, vocab=300), X.conv_pages(spark, d))
+    return _report(spark, d, models.build_model("tfidf-xgb-layout", vocab=VOCAB), X.layout_pages(spark, d))
 
 
 @query()

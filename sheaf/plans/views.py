@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import pages as P
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -81,3 +83,12 @@ def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 V5 = "v5 as (select l_orderkey as page, l_discount::double * 10 as x, l_quantity::double / 50 as y, l_tax::double / 2 as w, l_tax::double / 4 as h from lineitem)"
+
+
+def layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_pages with a layout: a page has the word boxes of one order, in turn, or none where that order has none."""
+    words = ocr_words(spark, sf_dir)
+    boxes = words.groupBy(F.col("page").alias("sheet")).agg(F.array(*P.layout_aggregates(*(F.col(c) for c in "xywh"))).alias("layout"))
+    last = F.broadcast(words.agg(F.max("page").alias("last")))  # one row
+    pages = conv_pages(spark, sf_dir).crossJoin(last).withColumn("sheet", F.pmod(F.col("source") * 8 + F.col("page"), F.col("last") + 1))
+    return pages.join(boxes, "sheet", "left").drop("sheet", "last")

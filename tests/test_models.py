@@ -116,6 +116,26 @@ def test_trees_learn_and_survive_saving(spark, learnable, tmp_path):
         m.fit(train.withColumn("boundary", F.lit(None).cast("boolean")))
 
 
+def test_registered_trees_are_whole(spark, monkeypatch):
+    from sheaf.plans import queries
+
+    monkeypatch.setattr(queries, "_report", lambda spark, d, model, pages: (model, pages))
+    plain, pages = queries.tfidf_gbt_eval(spark, "/root/testdata/sf0.001")
+    assert (plain.trees, plain.depth, plain.vocab_size) == (100, 4, 20_000)
+    rich, sheets = queries.rich_gbt_eval(spark, "/root/testdata/sf0.001")
+    assert (rich.trees, rich.depth, rich.vocab_size) == (300, 6, 20_000)
+    assert sheets.select(*pages.columns).exceptAll(pages).isEmpty() and sheets.count() == pages.count()
+    assert sheets.where("exists(layout, v -> v > 0)").count() > 0.2 * pages.count()
+
+
+def test_wide_rows_spread(spark):
+    rows = spark.range(1200, numPartitions=1).select(F.col("id").alias("stream_id"), F.lit(0).alias("pos"), F.col("id").alias("n"))
+    wide = rows.withColumn("features", models.array_to_vector(F.array_repeat(F.lit(1.0), 40_000)))
+    made = models.spread(wide)
+    assert made.rdd.getNumPartitions() > 1 and sorted(r.n for r in made.select("n").collect()) == list(range(1200))
+    assert models.spread(rows.withColumn("features", models.array_to_vector(F.array(F.lit(1.0))))).rdd.getNumPartitions() == 1
+
+
 def test_walk_forward(learnable):
     sliced = streams.slice_streams(learnable, 3).withColumn("slice_name", F.concat(F.lit("q"), "slice_id"))
     rows = evaluate.walk_forward([models.EveryPage(), models.Smoothed(models.TextSimilarity())], sliced)
