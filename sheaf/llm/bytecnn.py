@@ -13,6 +13,7 @@ The input's other columns are ignored.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,7 +135,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_docs: int = 1500, most_
     """Learns from docs (doc_id, text) and labels (doc_id, quality).
 
     A bounded sample: the most_docs labelled documents of lowest hash, half of each kind where both have so many, with whole
-    texts; of these, those after the first most_bytes of text are left out.
+    texts. Each kind has half of most_bytes; a document that doesn't fit into what is left of it is passed over. Of a
+    kind of which none fits, the smallest is taken. Warns if no text has a label of one kind, though there are such labels.
     """
     few = None
     labels = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -147,13 +149,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_docs: int = 1500, most_
     spark = docs.sparkSession
     few = F.broadcast(spark.createDataFrame(list(ids.items()), "doc_id long, quality int"))  # most_docs rows at most
     got = docs.select("doc_id", "text").join(few, "doc_id").withColumn("h", F.xxhash64("doc_id")).withColumn("size", F.octet_length(F.coalesce("text", F.lit(""))))
-    sizes = sorted(got.select("h", "doc_id", "size").collect())[: 2 * most_docs]
-    total, keep = 0, []
-    for r in sizes:
-        total += r["size"]
-        if total > most_bytes and keep:
-            break
-        keep.append(r["doc_id"])
+    sizes = got.groupBy("h", "doc_id", "quality").agg(F.sum(F.col("size") + WIDTH).alias("size")).collect()  # most_docs rows at most
+    keep = []
+    for kind in sorted(set(ids.values())):
+        own, left = sorted((r["h"], r["doc_id"], r["size"]) for r in sizes if r["quality"] == kind), most_bytes // 2
+        if not own:
+            warnings.warn(f"no document has one of the labels {kind}", stacklevel=2)
+        elif min(size for _, _, size in own) > left:
+            keep.append(min(own, key=lambda r: r[2])[1])
+        else:
+            for _, doc_id, size in own:
+                if size <= left:
+                    keep.append(doc_id)
+                    left -= size
     rows = got.where(F.col("doc_id").isin(keep)).select("doc_id", "text").toArrow().sort_by("doc_id")
     texts = texts_of(rows.column("text"))
     return ByteCnn().fit([texts.one(i) for i in range(len(texts))], np.array([ids[i] for i in rows.column("doc_id").to_pylist()], np.float32))

@@ -135,6 +135,20 @@ def test_forest_and_network_learn(corpus, judged):
     assert rules.fit_rules(judged, judged.limit(0))[0] is None
 
 
+def test_large_labelled_documents_are_passed_over(spark):
+    order = [r.id for r in spark.range(40).orderBy(F.xxhash64("id"), "id").collect()]
+    label = {i: k % 2 for k, i in enumerate(order)}
+    text = lambda i: ("fine words here " if label[i] else "zz## zz## ") * 4
+    labels = spark.createDataFrame(list(label.items()), "doc_id long, quality int")
+    for large in (order[:1], order[:2], [i for i in order if not label[i]]):
+        rows = [(i, text(i) * (100 if i in large else 1)) for i in order]
+        model = bytecnn.fit_quality(spark.createDataFrame(rows, "doc_id long, text string"), labels, most_bytes=8000)
+        assert model.fixed is None
+    with pytest.warns(UserWarning, match="labels 0"):
+        one = bytecnn.fit_quality(spark.createDataFrame([(i, text(i)) for i in order if label[i]], "doc_id long, text string"), labels)
+    assert one.fixed == 1
+
+
 def test_languages(spark, corpus):
     r = random.Random(2)
     vocab = {"aa": "der die und nicht haus wasser straße grün".split(), "bb": "el la que casa niño río agua señor".split(), "cc": "the and that house water stream light".split()}
