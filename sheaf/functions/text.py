@@ -1,4 +1,4 @@
-"""Text of pages as column expressions; nothing here leaves the JVM.
+"""Text of pages as column expressions. Sets of character n-grams are Arrow functions, those of `grams`.
 
 A null text gives null, but for `truncate` and the feature arrays, which take it as empty.
 """
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import grams
+
 WORD = r"[\p{L}\p{N}_]+"
 PAGE_FEATURES = ["log_chars", "words_per_100_chars", "chars_per_word", "alpha_share", "digit_share", "upper_share", "punct_share", "first_line_share"]
 CROSS_FEATURES = [
@@ -37,13 +39,12 @@ def strip(text: Column) -> Column:
 
 def char_ngrams(text: Column, n: int) -> Column:
     """The distinct n-character strings of the stripped text; of a shorter one itself, of an empty one nothing."""
+    return grams.distinct(n)(text)
 
-    def grams(t: Column) -> Column:
-        last = F.greatest(F.length(t) - n + 1, F.lit(1))
-        all_grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(t, i, F.lit(n)))
-        return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < n, F.array(t)).otherwise(F.array_distinct(all_grams))
 
-    return let(strip(text), grams)
+def gram_similarity(prev: Column, curr: Column, n: int) -> Column:
+    """Jaccard similarity of two texts' sets of n-character strings, without making strings of them."""
+    return grams.similarity(n)(prev, curr)
 
 
 def head_words(text: Column, n: int = 300) -> Column:
@@ -90,18 +91,6 @@ def page_features(text: Column) -> Column:
     return F.when(n == 0, F.array_repeat(F.lit(0.0), 8)).otherwise(F.array(*values))
 
 
-def cross_parts(text: Column) -> Column:
-    """What of one page enters the features of its pairs; computed once a page, not once a pair."""
-    t = F.coalesce(text, F.lit(""))
-    sets = [char_ngrams(F.left(t, F.lit(n)), 4) for n in (50, 150, 300, 600)] + [char_ngrams(F.right(t, F.lit(n)), 4) for n in (50, 150, 300, 600)]
-    sets += [char_ngrams(t, 4), char_ngrams(F.left(t, F.lit(50)), 3), char_ngrams(F.right(t, F.lit(50)), 3), head_words(t)]
-    return F.struct(F.array(*sets).alias("sets"), F.length(t).alias("size"), digit_runs(F.right(t, F.lit(300))).alias("runs"))
-
-
 def cross_features(prev: Column, curr: Column) -> Column:
-    """Seventeen numbers about two consecutive pages, as in CROSS_FEATURES, from their cross_parts."""
-    sets = [jaccard(prev["sets"][k], curr["sets"][k]) for k in range(12)]
-    a, b = (F.greatest(x["size"], F.lit(1)).cast("double") for x in (prev, curr))
-    x, y = prev["runs"].cast("double"), curr["runs"].cast("double")
-    gap = F.abs(F.log1p(prev["size"].cast("double")) - F.log1p(curr["size"].cast("double")))
-    return F.array(*sets, F.least(a, b) / F.greatest(a, b), gap, x, y, F.abs(x - y))
+    """Seventeen numbers about two consecutive pages' texts, as in CROSS_FEATURES."""
+    return grams.cross_features(prev, curr)

@@ -1,13 +1,16 @@
 """Smoothing of boundary probabilities by a two-state hidden Markov model.
 
-State 1 opens a document, state 0 goes on with one. The sequence of a stream is decoded whole, as
-a fold over its sorted array: a stream is one stack of pages, and the back-trace needs its end.
+State 1 opens a document, state 0 goes on with one. The sequence of a stream is decoded whole, in
+an Arrow function that takes one step of all streams of a batch at a time: a stream is one stack of
+pages, and the back-trace needs its end. Time grows with the number of pages.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,37 +42,51 @@ def calibrate(pages: DataFrame, before: Rates = Rates()) -> Rates:
     return replace(out, boundary_rate=clamp(c["hits"] / c["all"])) if c["all"] else out
 
 
-def decoded(steps: Column, rates: Rates) -> Column:
-    """The states of an array of structs (pos, p) in order. The first page opens a document, whatever its p."""
-    ln = lambda x: F.ln(F.lit(min(max(x, TINY), 1.0)))
+def best_paths(p: np.ndarray, bounds: np.ndarray, rates: Rates) -> np.ndarray:
+    """The states of sequences of probabilities that stand one after another; the first of each opens a document, whatever its p."""
+    ln = lambda x: np.log(min(max(x, TINY), 1.0))
     s_n, s_s, n_n, n_s = ln(rates.same_to_new), ln(1 - rates.same_to_new), ln(rates.new_to_new), ln(1 - rates.new_to_new)
-    minus = F.lit(float("-inf"))
-    start = F.struct(minus.alias("d0"), F.lit(0.0).alias("d1"), F.array().cast("array<struct<b0:int,b1:int>>").alias("back"))
-
-    def forward(state: Column, step: Column) -> Column:
-        p = step["p"]
-        e0, e1 = F.ln(F.greatest(1 - p, F.lit(TINY))), F.ln(F.greatest(p, F.lit(TINY)))
-        to0, to1 = (state["d0"] + s_s, state["d1"] + n_s), (state["d0"] + s_n, state["d1"] + n_n)
-        b0, b1 = F.when(to0[0] >= to0[1], 0).otherwise(1), F.when(to1[0] >= to1[1], 0).otherwise(1)
-        return F.struct((F.greatest(*to0) + e0).alias("d0"), (F.greatest(*to1) + e1).alias("d1"), F.array_append(state["back"], F.struct(b0.alias("b0"), b1.alias("b1"))).alias("back"))
-
-    rest = F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0)))
-    end = F.aggregate(rest, start, forward)
-    last = F.when(end["d0"] > end["d1"], 0).otherwise(1)
-    first = F.struct(last.alias("now"), F.array(last).alias("path"))
-
-    def backward(state: Column, link: Column) -> Column:
-        now = F.when(state["now"] == 0, link["b0"]).otherwise(link["b1"])
-        return F.struct(now.alias("now"), F.array_append(state["path"], now).alias("path"))
-
-    path = F.reverse(F.aggregate(F.reverse(end["back"]), first, backward)["path"])
-    return F.transform(path, lambda v, i: (v == 1) | (i == 0))
+    e0, e1 = np.log(np.maximum(1 - p, TINY)), np.log(np.maximum(p, TINY))
+    lens = np.diff(bounds)
+    order = np.argsort(-lens, kind="stable")
+    start, lens = bounds[:-1][order], lens[order]
+    d0, d1 = np.full(len(lens), -np.inf), np.zeros(len(lens))
+    back = np.zeros((2, len(p)), np.int8)
+    alive = np.searchsorted(-lens, -np.arange(1, lens[0] + 1 if len(lens) else 1), side="right")  # sequences of over k pages
+    for k in range(1, len(alive)):
+        m = alive[k]
+        at, a, b = start[:m] + k, d0[:m], d1[:m]
+        a0, b0, a1, b1 = a + s_s, b + n_s, a + s_n, b + n_n
+        back[0, at], back[1, at] = a0 < b0, a1 < b1
+        d0[:m], d1[:m] = np.maximum(a0, b0) + e0[at], np.maximum(a1, b1) + e1[at]
+    out = np.zeros(len(p), bool)
+    now = np.where(d0 > d1, 0, 1)
+    for k in range(len(alive) - 1, 0, -1):
+        m = alive[k]
+        at = start[:m] + k
+        out[at] = now[:m] == 1
+        now[:m] = back[now[:m], at]
+    out[start[lens > 0]] = True
+    return out
+
+
+def decoded(probs: Column, rates: Rates) -> Column:
+    """The states of an array of probabilities in order."""
+
+    @F.arrow_udf("array<boolean>")
+    def run(column: pa.Array) -> pa.Array:
+        lens = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(lens)])
+        p = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(best_paths(p, bounds, rates)))
+
+    return run(probs)
 
 
 def smooth(probs: DataFrame, rates: Rates = Rates()) -> DataFrame:
     """stream_id, pos, pred from stream_id, pos, prob."""
     steps = F.array_sort(F.collect_list(F.struct("pos", F.col("prob").cast("double").alias("p"))))
-    states = probs.groupBy("stream_id").agg(steps.alias("steps")).withColumn("states", decoded(F.col("steps"), rates))
+    states = probs.groupBy("stream_id").agg(steps.alias("steps")).withColumn("states", decoded(F.col("steps.p"), rates))
     flat = states.select("stream_id", F.explode(F.arrays_zip("steps", "states")).alias("x"))
     return flat.select("stream_id", F.col("x.steps.pos").alias("pos"), F.col("x.states").alias("pred"))
 

@@ -6,8 +6,10 @@ each stream; `report` averages over streams, so that long ones don't dominate.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .streams import document_ids
 
@@ -70,6 +72,29 @@ def exact(pages: DataFrame) -> DataFrame:
     return pages.groupBy("stream_id").agg(F.bool_and(F.col("truth") == F.col("pred")).alias("exact"))
 
 
+def moved(p: list[int], t: list[int], n: list[int]) -> int:
+    """Pages outside the assignment of predicted documents p to true ones t that share n pages."""
+    size: dict[int, int] = {}
+    wishes: dict[int, list] = {}
+    for a, b, k in zip(p, t, n):
+        size[a] = size.get(a, 0) + k
+        wishes.setdefault(a, []).append((-k, b))
+    taken: set[int] = set()
+    right = 0
+    for a in sorted(size, key=lambda x: (-size[x], x)):
+        for k, b in sorted(wishes[a]):
+            if b not in taken:
+                taken.add(b)
+                right -= k
+                break
+    return sum(n) - right
+
+
+@F.arrow_udf(LongType())
+def _moved(p: pa.Array, t: pa.Array, n: pa.Array) -> pa.Array:
+    return pa.array([moved(*x) for x in zip(p.to_pylist(), t.to_pylist(), n.to_pylist())], pa.int64())
+
+
 def drags(pages: DataFrame) -> DataFrame:
     """Drag-and-drops that a reviewer needs: pages whose predicted document isn't assigned to their own.
 
@@ -78,17 +103,8 @@ def drags(pages: DataFrame) -> DataFrame:
     """
     d = pages.withColumn("t", document_ids("truth")).withColumn("p", document_ids("pred"))
     meet = d.groupBy("stream_id", "p", "t").agg(F.count("*").alias("n"))
-    wish = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), F.col("t").alias("t"))))
-    by_doc = meet.groupBy("stream_id", "p").agg(F.sum("n").alias("size"), wish.alias("wishes"))
-    turn = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("rank"), F.col("p").alias("p"), F.col("wishes").alias("wishes"))))
-    start = F.struct(F.array().cast("array<bigint>").alias("taken"), F.lit(0).cast("bigint").alias("right"))
-
-    def choose(state: Column, doc: Column) -> Column:
-        best = F.get(F.filter(doc["wishes"], lambda w: ~F.array_contains(state["taken"], w["t"])), F.lit(0))
-        return F.when(best.isNull(), state).otherwise(F.struct(F.array_append(state["taken"], best["t"].cast("bigint")).alias("taken"), (state["right"] - best["rank"]).cast("bigint").alias("right")))
-
-    per = by_doc.groupBy("stream_id").agg(turn.alias("turns"), F.sum("size").alias("n"))
-    return per.select("stream_id", (F.col("n") - F.aggregate("turns", start, choose)["right"]).alias("drags"))
+    per = meet.groupBy("stream_id").agg(F.collect_list(F.struct("p", "t", "n")).alias("m"))
+    return per.select("stream_id", _moved("m.p", "m.t", "m.n").alias("drags"))
 
 
 def per_stream(pages: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Boundary models: fit(pages) on labelled streams, predict(pages) -> stream_id, pos, prob, pred.
 
 pages are in long form with a column text, and with layout, visual or embedding where a model uses
-them. prob is 1 for the first page of a stream. Trees are Spark's gradient-boosted trees and the
-linear model its logistic regression, with the regularisation that C = 1 means elsewhere.
+them. prob is 1 for the first page of a stream. Trees are those of `boosting`; the linear model is
+Spark's logistic regression, with the regularisation that C = 1 means elsewhere.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from typing import Protocol, runtime_checkable
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from . import decode, streams, tfidf
+from . import boosting, decode, streams, tfidf
 from .sampling import kfold
 
 KEY = ["stream_id", "pos"]
@@ -41,13 +41,6 @@ def compact(data: DataFrame, rows: int = 20_000) -> DataFrame:
     return data.coalesce(max(1, data.count() // rows))
 
 
-def spread(data: DataFrame, cells: int = 20_000_000) -> DataFrame:
-    """data (with features) for a tree learner, which holds every cell, zeros too: in partitions of about `cells` where compact's would hold more."""
-    first, rows = data.select("features").first(), data.count()
-    n = rows * (first[0].size if first else 0) // cells
-    return data.repartition(n, *KEY).sortWithinPartitions(*KEY) if n > max(1, rows // 20_000) else compact(data)
-
-
 class EveryPage:
     name = "every_page"
 
@@ -72,9 +65,9 @@ class TextSimilarity:
         self.at, self.n = at, n
 
     def probs(self, pages: DataFrame) -> DataFrame:
-        grams = pages.select(*KEY, T.char_ngrams(F.coalesce("text", F.lit("")), self.n).alias("grams"))
-        prev = F.lag("grams").over(streams.in_order())
-        return grams.select(*KEY, F.when(F.col("pos") == 0, 1.0).otherwise(1 - T.jaccard(prev, F.col("grams"))).alias("prob"))
+        texts = pages.select(*KEY, F.coalesce("text", F.lit("")).alias("text"))
+        pairs = texts.select(*KEY, F.lag("text").over(streams.in_order()).alias("prev"), "text")
+        return pairs.select(*KEY, F.when(F.col("pos") == 0, 1.0).otherwise(1 - T.gram_similarity(F.col("prev"), F.col("text"), self.n)).alias("prob"))
 
     def predict(self, pages: DataFrame) -> DataFrame:
         return decode.threshold(self.probs(pages), 1 - self.at)
@@ -83,62 +76,54 @@ class TextSimilarity:
 class PairTrees:
     """Gradient-boosted trees over TF-IDF of a page and the one before, and more features of the pair.
 
-    blocks: any of page (the 8 page features), layout (with their cosine), position, cross, embedding
-    (pairs), embedding_cosine, visual.
+    blocks: any of page (the 8 page features), layout (with their cosine), layout_pairs, position, cross, embedding
+    (pairs), embedding_cosine, visual. Learns from all labelled pages up to most_rows pages and most_cells values,
+    beyond that from a sample of whole streams of that size.
     """
 
-    def __init__(self, name: str, blocks: tuple[str, ...] = (), vocab: int = 2000, trees: int = 20, depth: int = 4, rate: float = 0.1, at: float = 0.5, use_text: bool = True):
+    def __init__(self, name: str, blocks: tuple[str, ...] = (), vocab: int = 20_000, trees: int = 100, depth: int = 4, rate: float = 0.1, at: float = 0.5, use_text: bool = True, most_rows: int = 100_000, most_cells: int = 20_000_000):
         self.name, self.blocks, self.vocab_size, self.at, self.use_text = name, blocks, vocab, at, use_text
-        self.trees, self.depth, self.rate = trees, depth, rate
-        self.model: GBTClassificationModel | LogisticRegressionModel | None = None
+        self.trees, self.depth, self.rate, self.most_rows, self.most_cells = trees, depth, rate, most_rows, most_cells
+        self.model: boosting.Trees | LogisticRegressionModel | None = None
         self.vocab: DataFrame | None = None
 
     def features(self, pages: DataFrame) -> DataFrame:
-        """stream_id, pos, boundary and features of the pages after the first."""
+        """stream_id, pos, boundary and features of the pages after the first: sparse ones as idx and val, the others in dense."""
         base, w = pages, streams.in_order()
         arrays = []
         lagged = lambda c: (F.lag(c).over(w), F.col(c))
         base = streams.positions(base)
-        if self.use_text:
-            base = base.withColumn("cut", T.truncate(F.col("text")))
         for block in self.blocks:
             if block == "page":
                 base = base.withColumn("page_f", T.page_features(F.col("text")))
                 arrays.append(V.pair_difference(*lagged("page_f")))
-            elif block == "layout":
-                base = base.withColumn("layout", F.coalesce(V.doubles(F.col("layout")), V.zeros(14)) if "layout" in pages.columns else V.zeros(14))
-                arrays += [V.pair_difference(*lagged("layout")), F.array(V.cosine(*lagged("layout")))]
-            elif block == "layout_pairs":
+            elif block in ("layout", "layout_pairs"):
                 base = base.withColumn("layout", F.coalesce(V.doubles(F.col("layout")), V.zeros(14)) if "layout" in pages.columns else V.zeros(14))
                 arrays.append(V.pair_difference(*lagged("layout")))
+                if block == "layout":
+                    arrays.append(F.array(V.cosine(*lagged("layout"))))
             elif block == "visual":
                 arrays.append(V.pair_difference(*lagged("visual")))
             elif block == "position":
                 arrays.append(F.array(F.col("relative"), F.col("remaining"), F.col("n_pages").cast("double")))
             elif block == "cross":
-                base = base.withColumn("parts", T.cross_parts(F.col("text")))
-                arrays.append(T.cross_features(*lagged("parts")))
+                arrays.append(T.cross_features(*lagged("text")))
             elif block == "embedding":
                 arrays.append(V.pair_product(*lagged("embedding")))
             elif block == "embedding_cosine":
                 arrays.append(F.array(V.cosine(*lagged("embedding"))))
             else:
                 raise ValueError(f"there are no {block} features")
-        keep = [*KEY, *(["boundary"] if "boundary" in pages.columns else [])]
-        columns = []
+        sparse = F.array().cast("array<struct<idx:int,weight:double>>")
         if self.use_text:
-            sparse = tfidf.vectors(base, self.vocab, self.vocab_size, *KEY, text="cut")
-            base = base.join(sparse, KEY)
-            base = base.withColumn("tfidf_prev", F.lag("tfidf").over(w))
-            columns = ["tfidf_prev", "tfidf"]
-        if arrays:
-            base = base.withColumn("dense_array", F.concat(*arrays))
-            columns.append("dense")
-        rows = base.where("pos >= 1")
-        if arrays:
-            rows = rows.withColumn("dense", array_to_vector(F.col("dense_array")))
-        made = VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
-        return made.select(*keep, "features")
+            found = tfidf.cells(base.select(*KEY, T.truncate(F.col("text")).alias("cut")), self.vocab, *KEY, text="cut")
+            base = base.join(found, KEY, "left").withColumn("cells", F.coalesce("cells", sparse))
+            shifted = F.transform("cells", lambda c: F.struct((c["idx"] + self.vocab_size).alias("idx"), c["weight"].alias("weight")))
+            sparse = F.concat(F.lag("cells").over(w), shifted)
+        dense = F.concat(*arrays) if arrays else F.array().cast("array<double>")
+        rows = base.withColumn("both", sparse).withColumn("dense", dense).where("pos >= 1")
+        keep = [*KEY, *(["boundary"] if "boundary" in pages.columns else [])]
+        return rows.select(*keep, F.col("both.idx").alias("idx"), F.col("both.weight").alias("val"), "dense")
 
     def fit(self, pages: DataFrame) -> PairTrees:
         streams.require_streams(pages, labelled=True)
@@ -156,31 +141,47 @@ class PairTrees:
         return self
 
     def _learn(self, data: DataFrame):
-        return GBTClassifier(maxIter=self.trees, maxDepth=self.depth, stepSize=self.rate, seed=0, maxMemoryInMB=512).fit(spread(data))
+        rows = boosting.sample(data, self.most_rows, self.most_cells)
+        return boosting.Trees(self.trees, self.depth, self.rate).fit(boosting.rows_of(rows, 2 * self.vocab_size), rows.column("label").to_numpy())
+
+    def _scored(self, pages: DataFrame) -> DataFrame:
+        return boosting.scored(self.features(pages), self.model, 2 * self.vocab_size, *KEY)
 
     def predict(self, pages: DataFrame) -> DataFrame:
         if self.model is None:
             raise RuntimeError(f"{self.name} must be fitted first")
-        some = self.model.transform(self.features(pages)).select(*KEY, vector_to_array("probability")[1].alias("prob"))
-        probs = pages.select(*KEY).join(some, KEY, "left").withColumn("prob", F.when(F.col("pos") == 0, 1.0).otherwise(F.col("prob")))
+        probs = pages.select(*KEY).join(self._scored(pages), KEY, "left").withColumn("prob", F.when(F.col("pos") == 0, 1.0).otherwise(F.col("prob")))
         return decode.threshold(probs, self.at)
 
     def save(self, path: str) -> None:
         if self.model is None:
             raise RuntimeError(f"{self.name} must be fitted first")
-        self.model.write().overwrite().save(f"{path}/model")
+        spark = SparkSession.active()
+        if isinstance(self.model, boosting.Trees):
+            self.model.frame(spark).write.mode("overwrite").parquet(f"{path}/model")
+        else:
+            self.model.write().overwrite().save(f"{path}/model")
         if self.vocab is not None:
             self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
         spec = {"kind": type(self).__name__, "name": self.name, "blocks": list(self.blocks), "vocab": self.vocab_size, "trees": self.trees, "depth": self.depth, "rate": self.rate, "at": self.at, "use_text": self.use_text}
-        SparkSession.active().createDataFrame([(json.dumps(spec),)], "spec string").coalesce(1).write.mode("overwrite").text(f"{path}/spec")
+        spark.createDataFrame([(json.dumps(spec),)], "spec string").coalesce(1).write.mode("overwrite").text(f"{path}/spec")
 
 
 class PairLogistic(PairTrees):
-    """Logistic regression over the pair's features instead of trees."""
+    """Logistic regression over the pair's dense features instead of trees."""
+
+    def __init__(self, name: str, blocks: tuple[str, ...], **options):
+        super().__init__(name, blocks, **options | {"use_text": False})
+
+    def _vectors(self, data: DataFrame) -> DataFrame:
+        return data.withColumn("features", array_to_vector(F.col("dense")))
 
     def _learn(self, data: DataFrame):
         n = max(1, data.count())
-        return LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000).fit(compact(data))
+        return LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000).fit(compact(self._vectors(data)))
+
+    def _scored(self, pages: DataFrame) -> DataFrame:
+        return self.model.transform(self._vectors(self.features(pages))).select(*KEY, vector_to_array("probability")[1].alias("prob"))
 
 
 def load_model(spark, path: str) -> PairTrees:
@@ -188,7 +189,10 @@ def load_model(spark, path: str) -> PairTrees:
     kind = {"PairTrees": PairTrees, "PairLogistic": PairLogistic}[spec.pop("kind")]
     spec["blocks"] = tuple(spec["blocks"])
     made = kind(**spec)
-    made.model = (LogisticRegressionModel if kind is PairLogistic else GBTClassificationModel).load(f"{path}/model")
+    if kind is PairLogistic:
+        made.model = LogisticRegressionModel.load(f"{path}/model")
+    else:
+        made.model = boosting.Trees.of(spark.read.parquet(f"{path}/model"), made.trees, made.depth, made.rate)
     if made.use_text:
         made.vocab = spark.read.parquet(f"{path}/vocab")
     return made
@@ -282,8 +286,8 @@ _TREES |= {"tfidf-xgb-layout-sem": ("tfidf_xgb_layout_sem", ("page", "layout_pai
 MODELS = ["trivial:every-page", "trivial:never-split", "text-similarity", *_TREES, "multilingual-minilm", "ensemble:text-sim+tfidf-xgb", "ensemble:text-sim+tfidf-xgb-rich", "ensemble:text-sim+tfidf-xgb-layout", "ensemble:rich+minilm", "viterbi:text-similarity", "viterbi:tfidf-xgb", "viterbi:ensemble", "seq-lr:text-similarity", "oof:tfidf-xgb"]
 
 
-def build_model(name: str, at: float = 0.5, trees: int | None = None, vocab: int = 2000):
-    """A model by its command-line name. trees: instead of the model's own number, for less time."""
+def build_model(name: str, at: float = 0.5, trees: int | None = None, vocab: int | None = None):
+    """A model by its command-line name. trees, vocab: instead of the model's own number of trees and terms."""
     if name == "trivial:every-page":
         return EveryPage()
     if name == "trivial:never-split":
@@ -292,9 +296,9 @@ def build_model(name: str, at: float = 0.5, trees: int | None = None, vocab: int
         return TextSimilarity()
     if name in _TREES:
         own, blocks, n, depth, rate = _TREES[name]
-        return PairTrees(own, blocks, vocab, trees or n, depth, rate, at if name == "tfidf-xgb-layout" else 0.5)
+        return PairTrees(own, blocks, vocab or (10_000 if name == "minilm-xgb" else 20_000), trees or n, depth, rate, at if name == "tfidf-xgb-layout" else 0.5)
     if name == "multilingual-minilm":
-        return PairLogistic("multilingual_minilm", ("embedding",), use_text=False)
+        return PairLogistic("multilingual_minilm", ("embedding",))
     sub = lambda x: build_model(x, 0.5, trees, vocab)
     if name.startswith("ensemble:text-sim+"):
         return Ensemble(name.replace(":", "_"), [sub("text-similarity"), sub(name.split("+")[1])])

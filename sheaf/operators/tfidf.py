@@ -1,4 +1,4 @@
-"""TF-IDF of word n-grams, and sparse vectors of it.
+"""TF-IDF of word n-grams, and sparse rows of it.
 
 Terms are lower-case words of two characters at least, and pairs of neighbours among them. Weight:
 (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), scaled to length 1 for each text. The vocabulary is the most
@@ -7,7 +7,6 @@ frequent terms by count in the corpus; ties go to the term that sorts first.
 
 from __future__ import annotations
 
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,8 +28,8 @@ def terms(text: Column) -> Column:
 
 
 def counted(texts: DataFrame, *key: str, text: str = "text") -> DataFrame:
-    """key, term, tf."""
-    return texts.select(*key, F.explode(terms(F.col(text))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
+    """key, term, tf. Texts are shuffled by key, so that neither the count nor a later sum by key shuffles their terms."""
+    return texts.select(*key, text).repartition(*key).select(*key, F.explode(terms(F.col(text))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, n_texts: int, size: int) -> DataFrame:
@@ -44,18 +43,10 @@ def vocabulary(counts: DataFrame, n_texts: int, size: int) -> DataFrame:
 def weights(counts: DataFrame, vocab: DataFrame, *key: str) -> DataFrame:
     """key, term, idx, weight. vocab is bounded by its size, and small beside counts."""
     raw = counts.join(F.broadcast(vocab.select("term", "idx", "idf")), "term").withColumn("w", (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
-    length = raw.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return raw.join(length, list(key)).select(*key, "term", "idx", (F.col("w") / F.col("length")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(*key)))
+    return raw.select(*key, "term", "idx", (F.col("w") / length).alias("weight"))
 
 
-@F.udf(VectorUDT())
-def _sparse(size, cells):
-    return SparseVector(size, [c.idx for c in cells], [c.weight for c in cells])
-
-
-def vectors(texts: DataFrame, vocab: DataFrame, size: int, *key: str, text: str = "text") -> DataFrame:
-    """key and tfidf, a sparse vector for each row of texts (an empty one without terms)."""
-    rows = weights(counted(texts, *key, text=text), vocab, *key).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("cells"))
-    out = texts.select(*key).join(rows, list(key), "left")
-    cells = F.coalesce("cells", F.array().cast("array<struct<idx:int,weight:double>>"))
-    return out.select(*key, _sparse(F.lit(size), cells).alias("tfidf"))
+def cells(texts: DataFrame, vocab: DataFrame, *key: str, text: str = "text") -> DataFrame:
+    """key and cells, the (idx, weight) of each row of texts; null without a term of the vocabulary."""
+    return weights(counted(texts, *key, text=text), vocab, *key).groupBy(*key).agg(F.collect_list(F.struct("idx", "weight")).alias("cells"))

@@ -131,8 +131,8 @@ def char_ngrams(spark, d):
 
 @query(f"with {_G1} select stream_id, pos, round({_jaccard('q', 'g')}, 9) as similarity from p1 where pos >= 1")
 def jaccard_pairs(spark, d):
-    p = streams.pairs(X.conv_pages(spark, d).withColumn("g", T.char_ngrams(F.col("text"), 4)), "g")
-    return p.select("stream_id", "pos", r9(T.jaccard(F.col("prev_g"), F.col("curr_g")), "similarity"))
+    p = streams.pairs(X.conv_pages(spark, d), "text")
+    return p.select("stream_id", "pos", r9(T.gram_similarity(F.col("prev_text"), F.col("curr_text"), 4), "similarity"))
 
 
 @query(f"with {_G1} select stream_id, pos, round(prob, 9) as prob from j1")
@@ -182,8 +182,8 @@ select stream_id, pos, k - 1 as k, round(f[k], 9) + 0 as v from f, range(1, 18)
 
 @query(_cross_sql())
 def cross_page_features(spark, d):
-    p = streams.pairs(X.conv_pages(spark, d).withColumn("c", T.cross_parts(F.col("text"))), "c")
-    return numbered("f", "stream_id", "pos")(p.withColumn("f", T.cross_features(F.col("prev_c"), F.col("curr_c"))))
+    p = streams.pairs(X.conv_pages(spark, d), "text")
+    return numbered("f", "stream_id", "pos")(p.withColumn("f", T.cross_features(F.col("prev_text"), F.col("curr_text"))))
 
 
 @query(f"with {X.V1}, n as (select *, count(*) over (partition by stream_id) as n_pages from v1) select stream_id, pos, n_pages, round(pos / greatest(n_pages - 1, 1)::double, 9) as relative, round((n_pages - 1 - pos) / greatest(n_pages - 1, 1)::double, 9) as remaining from n")
@@ -506,10 +506,6 @@ def concat_streams(spark, d):
 
 # learning: no SQL for these
 
-#: Terms of the reference's models.
-VOCAB = 20_000
-
-
 def _report(spark, d, model, pages) -> DataFrame:
     split = streams.split_streams(pages, 0.8)
     model.fit(split.where("train").drop("train"))
@@ -518,12 +514,32 @@ def _report(spark, d, model, pages) -> DataFrame:
 
 @query()
 def tfidf_gbt_eval(spark, d):
-    return _report(spark, d, models.build_model("tfidf-xgb", vocab=VOCAB), X.conv_pages(spark, d))
+    return _report(spark, d, models.build_model("tfidf-xgb"), X.conv_pages(spark, d))
+
+
+@query()
+def page_gbt_eval(spark, d):
+    return _report(spark, d, models.build_model("tfidf-xgb-rich"), X.conv_pages(spark, d))
 
 
 @query()
 def rich_gbt_eval(spark, d):
-    return _report(spark, d, models.build_model("tfidf-xgb-layout", vocab=VOCAB), X.layout_pages(spark, d))
+    return _report(spark, d, models.build_model("tfidf-xgb-layout"), X.layout_pages(spark, d))
+
+
+@query()
+def semantic_gbt_eval(spark, d):
+    return _report(spark, d, models.build_model("tfidf-xgb-layout-sem"), X.rich_pages(spark, d))
+
+
+@query()
+def all_gbt_eval(spark, d):
+    return _report(spark, d, models.build_model("tfidf-xgb-all"), X.rich_pages(spark, d))
+
+
+@query()
+def embedding_gbt_eval(spark, d):
+    return _report(spark, d, models.build_model("minilm-xgb"), X.rich_pages(spark, d))
 
 
 @query()
@@ -544,3 +560,18 @@ def seq_lr_eval(spark, d):
 @query()
 def oof_stack_eval(spark, d):
     return _report(spark, d, models.Stacked(models.build_model("multilingual-minilm"), folds=3), X.vec_pages(spark, d))
+
+
+@query()
+def ensemble_eval(spark, d):
+    return _report(spark, d, models.build_model("ensemble:text-sim+tfidf-xgb-rich"), X.conv_pages(spark, d))
+
+
+@query()
+def viterbi_trees_eval(spark, d):
+    return _report(spark, d, models.build_model("viterbi:tfidf-xgb"), X.conv_pages(spark, d))
+
+
+@query()
+def viterbi_ensemble_eval(spark, d):
+    return _report(spark, d, models.build_model("viterbi:ensemble"), X.conv_pages(spark, d))

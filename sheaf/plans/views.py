@@ -92,3 +92,11 @@ def layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.broadcast(words.agg(F.max("page").alias("last")))  # one row
     pages = conv_pages(spark, sf_dir).crossJoin(last).withColumn("sheet", F.pmod(F.col("source") * 8 + F.col("page"), F.col("last") + 1))
     return pages.join(boxes, "sheet", "left").drop("sheet", "last")
+
+
+def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """layout_pages with an embedding, of one vector in turn, and its first numbers in place of visual features."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sheet"), F.col("embedding").cast("array<double>").alias("embedding"))
+    n = F.broadcast(vectors.agg(F.count("*").alias("vectors")))  # one row
+    pages = layout_pages(spark, sf_dir).crossJoin(n).withColumn("sheet", F.pmod(F.col("source") * 8 + F.col("page"), F.col("vectors")))
+    return pages.join(vectors, "sheet").withColumn("visual", F.slice("embedding", 1, P.VISUAL_SIZE)).drop("sheet", "vectors")

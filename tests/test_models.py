@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sheaf.operators import decode, evaluate, models, sampling, streams
+from sheaf.operators import boosting, decode, evaluate, models, sampling, streams
 
 
 def viterbi(probs, sn, nn):
@@ -120,20 +120,59 @@ def test_registered_trees_are_whole(spark, monkeypatch):
     from sheaf.plans import queries
 
     monkeypatch.setattr(queries, "_report", lambda spark, d, model, pages: (model, pages))
-    plain, pages = queries.tfidf_gbt_eval(spark, "/root/testdata/sf0.001")
-    assert (plain.trees, plain.depth, plain.vocab_size) == (100, 4, 20_000)
-    rich, sheets = queries.rich_gbt_eval(spark, "/root/testdata/sf0.001")
-    assert (rich.trees, rich.depth, rich.vocab_size) == (300, 6, 20_000)
+    made = {f: getattr(queries, f)(spark, "/root/testdata/sf0.001") for f in ("tfidf_gbt_eval", "page_gbt_eval", "rich_gbt_eval", "semantic_gbt_eval", "all_gbt_eval", "embedding_gbt_eval")}
+    sizes = {f: (m.trees, m.depth, m.vocab_size) for f, (m, _) in made.items()}
+    assert sizes == {"tfidf_gbt_eval": (100, 4, 20_000), "page_gbt_eval": (200, 5, 20_000), "rich_gbt_eval": (300, 6, 20_000), "semantic_gbt_eval": (300, 6, 20_000), "all_gbt_eval": (300, 6, 20_000), "embedding_gbt_eval": (150, 5, 10_000)}
+    pages, sheets = made["tfidf_gbt_eval"][1], made["all_gbt_eval"][1]
     assert sheets.select(*pages.columns).exceptAll(pages).isEmpty() and sheets.count() == pages.count()
     assert sheets.where("exists(layout, v -> v > 0)").count() > 0.2 * pages.count()
-
-
-def test_wide_rows_spread(spark):
-    rows = spark.range(1200, numPartitions=1).select(F.col("id").alias("stream_id"), F.lit(0).alias("pos"), F.col("id").alias("n"))
-    wide = rows.withColumn("features", models.array_to_vector(F.array_repeat(F.lit(1.0), 40_000)))
-    made = models.spread(wide)
-    assert made.rdd.getNumPartitions() > 1 and sorted(r.n for r in made.select("n").collect()) == list(range(1200))
-    assert models.spread(rows.withColumn("features", models.array_to_vector(F.array(F.lit(1.0))))).rdd.getNumPartitions() == 1
+    assert sheets.where("size(embedding) <> 64 or size(visual) <> 17").isEmpty()
+
+
+def grown(x, y, trees, depth, rate):
+    """Boosting in plain Python: every split of every value tried; NaN is missing."""
+    margin, out = [0.0] * len(y), []
+
+    def gain(rows, g, h):
+        return sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + 1)
+
+    def grow(rows, level, g, h):
+        best = (1e-6, None)
+        if level < depth:
+            for f in range(len(x[0])):
+                for cut in sorted({x[i][f] for i in rows if x[i][f] == x[i][f]}):
+                    for missing in (False, True):
+                        left = [i for i in rows if (x[i][f] <= cut if x[i][f] == x[i][f] else missing)]
+                        right = [i for i in rows if i not in left]
+                        if min(sum(h[i] for i in left), sum(h[i] for i in right)) >= 1:
+                            best = max(best, (gain(left, g, h) + gain(right, g, h) - gain(rows, g, h), (left, right)), key=lambda b: b[0])
+        if best[1] is None:
+            leaf = -rate * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 1)
+            for i in rows:
+                margin[i] += leaf
+        else:
+            for part in best[1]:
+                grow(part, level + 1, g, h)
+
+    for _ in range(trees):
+        p = [1 / (1 + np.exp(-m)) for m in margin]
+        grow(list(range(len(y))), 0, [a - b for a, b in zip(p, y)], [a * (1 - a) for a in p])
+    return [1 / (1 + np.exp(-m)) for m in margin]
+
+
+def test_boosting_against_plain_python():
+    r = np.random.default_rng(0)
+    x = np.round(r.normal(size=(60, 4)), 1)
+    x[r.random(x.shape) < 0.3] = np.nan
+    x[x == 0] = np.nan
+    x[:, 3] = np.where(np.arange(60) < 6, 1.0, np.nan)
+    y = ((np.nan_to_num(x[:, 0]) > 0) ^ (r.random(60) < 0.1)).astype(float)
+    row, col = np.nonzero(~np.isnan(x))
+    rows = boosting.Rows(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=60))]), col, x[row, col])
+    made = boosting.Trees(6, 3, 0.3).fit(rows, y)
+    assert np.allclose(made.predict(rows), grown(x.tolist(), y.tolist(), 6, 3, 0.3))
+    none = boosting.Rows(np.zeros(3, int), np.zeros(0, int), np.zeros(0))
+    assert np.allclose(boosting.Trees(2, 3, 0.3).fit(none, np.array([0.0, 1.0])).predict(none), 0.5)
 
 
 def test_walk_forward(learnable):
