@@ -34,15 +34,17 @@ def sparse(hashes: np.ndarray, bits: int) -> pa.RecordBatch:
 
 
 def _join_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
+    """One row a slice. Rows come sorted by slice, so one is held at a time."""
+    now, flags = None, None
     for batch in batches:
         for k, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-            flags = total.setdefault(k, np.zeros(1 << SLICE_BITS, bool))
+            if k != now:
+                if now is not None:
+                    yield _packed(now, flags)
+                now, flags = k, np.zeros(1 << SLICE_BITS, bool)
             flags[np.frombuffer(raw.as_buffer(), np.uint32)] = True
-            if len(total) > 64:
-                yield _packed(*total.popitem())
-    for k, flags in total.items():
-        yield _packed(k, flags)
+    if now is not None:
+        yield _packed(now, flags)
 
 
 def _packed(k: int, flags: np.ndarray) -> pa.RecordBatch:
@@ -52,7 +54,7 @@ def _packed(k: int, flags: np.ndarray) -> pa.RecordBatch:
 def bitmap(slices: DataFrame, bits: int) -> np.ndarray:
     """The bitmap of sparse() rows (slice, places), on the driver: 2 ** bits / 8 bytes."""
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in slices.repartition("slice").mapInArrow(_join_slices, "slice int, places binary").collect():
+    for r in slices.repartition("slice").sortWithinPartitions("slice").mapInArrow(_join_slices, "slice int, places binary").collect():
         at = r["slice"] << (SLICE_BITS - 3)
         out[at : at + (1 << (SLICE_BITS - 3))] |= np.frombuffer(r["places"], np.uint8)
     return out
