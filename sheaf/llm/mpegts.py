@@ -2,12 +2,16 @@
 
 `mux` stores bytes as 8-bit samples in one private elementary stream: program tables before every
 random-access point, packetised elementary packets with presentation times, a clock reference and
-the random-access flag in the adaptation field. `demux` follows the tables, checks sections and
-continuity counters, reassembles the packets and returns the samples with their index.
+the random-access flag in the adaptation field. `demux` follows the tables over sections of any
+number of packets, passes over packets that are sent twice, checks continuity counters and the
+time between elementary packets, and reassembles those that came whole. One that didn't gives no
+sample: its place in the index says so.
 
 Defined results: a null or empty text is stored as 64 zero bytes; equal texts give equal media
-whatever their rows hold else; damaged media give a ValueError, lost packets of a stream are
-counted in cc_errors. The input's other columns are ignored.
+whatever their rows hold else; repeated rows, and rows without a doc_id, have a result each; an empty
+table gives an empty result. Media without tables or synchronisation are a ValueError. Where packets are
+missing `read_media` raises one too, or, if it is told not to, counts them and describes what is left.
+The input's other columns are ignored.
 """
 
 from __future__ import annotations
@@ -119,24 +123,54 @@ def mux(payload: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _read_section(packets: np.ndarray, pid: np.ndarray, want: int, table_id: int) -> bytes:
-    rows = np.flatnonzero((pid == want) & (packets[:, 1] & 0x40 > 0))
-    if not len(rows):
-        raise ValueError(f"no section on PID {want}")
-    raw = packets[rows[0]].tobytes()
-    at = 5 + raw[4] if not raw[3] & 0x20 else 6 + raw[4] + raw[5 + raw[4]]
-    size = 3 + (struct.unpack_from(">H", raw, at + 1)[0] & 0xFFF)
-    section = raw[at : at + size]
-    if section[0] != table_id or crc_mpeg(section):
-        raise ValueError(f"damaged section on PID {want}")
-    return section
+def _offsets(packets: np.ndarray) -> np.ndarray:
+    """Where each packet's payload starts."""
+    return np.where(packets[:, 3] & 0x20 > 0, 5 + packets[:, 4].astype(np.int32), 4)
+
+
+def _in_turn(packets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one PID's packets with a payload: those that aren't sent a second time, and which of them don't follow on the one before."""
+    cc = packets[rows, 3] & 15
+    again = np.flatnonzero((cc[1:] - cc[:-1]) & 15 == 0) + 1
+    if len(again):
+        dup = np.zeros(len(rows), bool)
+        for i in again:
+            x, y = packets[rows[i - 1]], packets[rows[i]]
+            at = int(_offsets(y[None])[0])
+            dup[i] = not dup[i - 1] and np.array_equal(x[1:4], y[1:4]) and np.array_equal(x[at:], y[at:])
+        rows = rows[~dup]
+        cc = packets[rows, 3] & 15
+    gap = np.zeros(len(rows), bool)
+    gap[1:] = (cc[1:] - cc[:-1]) & 15 != 1
+    if gap.any():
+        own = packets[rows]
+        gap &= ~((own[:, 3] & 0x20 > 0) & (own[:, 4] > 0) & (own[:, 5] & 0x80 > 0))  # a break that is announced
+    return rows, gap
+
+
+def _read_section(packets: np.ndarray, rows: np.ndarray, gap: np.ndarray, table_id: int, what: str) -> bytes:
+    """The first whole section that starts in the packets rows of one PID."""
+    for k in np.flatnonzero(packets[rows, 1] & 0x40):
+        offset = _offsets(packets[rows[k : k + 1]])[0]
+        raw = packets[rows[k]].tobytes()[offset:]
+        raw, j = raw[1 + raw[0] :], k + 1
+        while j < len(rows) and not packets[rows[j], 1] & 0x40 and not gap[j] and (len(raw) < 3 or len(raw) < 3 + (struct.unpack_from(">H", raw, 1)[0] & 0xFFF)):
+            raw += packets[rows[j]].tobytes()[_offsets(packets[rows[j : j + 1]])[0] :]
+            j += 1
+        if len(raw) < 3:
+            continue
+        section = raw[: 3 + (struct.unpack_from(">H", raw, 1)[0] & 0xFFF)]
+        if len(section) >= 12 and section[0] == table_id and not crc_mpeg(section) and len(section) == 3 + (struct.unpack_from(">H", section, 1)[0] & 0xFFF):
+            return section
+    raise ValueError(f"no sound {what}")
 
 
 def demux(media: np.ndarray) -> tuple[np.ndarray, dict]:
     """The samples of a transport stream, and what was found on the way.
 
-    The index lists for each elementary packet its time, its first transport packet and whether it
-    is a random-access point.
+    The index lists for each elementary packet its time, its first transport packet, whether it is a random-access
+    point and whether it came whole. Samples are those of whole ones. cc_errors counts breaks in the continuity
+    counters of tables and stream, lost the elementary packets that aren't whole, time_gaps those that don't follow on the one before.
     """
     if len(media) == 0 or len(media) % PACKET:
         raise ValueError("not a whole number of packets")
@@ -144,34 +178,56 @@ def demux(media: np.ndarray) -> tuple[np.ndarray, dict]:
     if not (packets[:, 0] == 0x47).all():
         raise ValueError("lost synchronisation")
     pid = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    pat = _read_section(packets, pid, 0, 0)
-    pmt_pid = struct.unpack_from(">H", pat, 10)[0] & 0x1FFF
-    pmt = _read_section(packets, pid, pmt_pid, 2)
+    loaded = packets[:, 3] & 0x10 > 0
+    errors = 0
+
+    def stream(which: int) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal errors
+        rows, gap = _in_turn(packets, np.flatnonzero((pid == which) & loaded))
+        errors += int(gap.sum())
+        return rows, gap
+
+    pat = _read_section(packets, *stream(0), 0, "program association table")
+    entries = [struct.unpack_from(">HH", pat, k) for k in range(8, len(pat) - 4, 4)]
+    program = next((p & 0x1FFF for number, p in entries if number), None)  # program 0 names the network's PID
+    if program is None:
+        raise ValueError("the program association table names no program")
+    pmt = _read_section(packets, *stream(program), 2, "program map table")
     at = 12 + (struct.unpack_from(">H", pmt, 10)[0] & 0xFFF)
+    if at + 5 > len(pmt) - 4:
+        raise ValueError("the program map table names no stream")
     stream_type, es_pid = pmt[at], struct.unpack_from(">H", pmt, at + 1)[0] & 0x1FFF
-    errors = 0
-    for p in (0, pmt_pid, es_pid):
-        cc = packets[(pid == p) & (packets[:, 3] & 0x10 > 0), 3] & 15
-        errors += int(((cc[1:] - cc[:-1]) & 15 != 1).sum())
-    rows = np.flatnonzero((pid == es_pid) & (packets[:, 3] & 0x10 > 0))
+    rows, gap = stream(es_pid)
     es = packets[rows]
-    adapted = es[:, 3] & 0x20 > 0
-    offset = np.where(adapted, 5 + es[:, 4].astype(np.int32), 4)
-    access = adapted & (es[:, 4] > 0) & (es[:, 5] & 0x40 > 0)
+    offset = _offsets(es)
+    access = (es[:, 3] & 0x20 > 0) & (es[:, 4] > 0) & (es[:, 5] & 0x40 > 0)
     data = es[np.arange(PACKET) >= offset[:, None]]
     ends = np.cumsum(PACKET - offset)
     opens = np.flatnonzero(es[:, 1] & 0x40)
     begin = ends[opens] - (PACKET - offset[opens])
-    pieces, index = [], []
-    for b, e, k in zip(begin, np.append(begin[1:], len(data)), opens):
-        if bytes(data[b : b + 3]) != b"\0\0\1":
+    broken = np.concatenate([[0], np.cumsum(gap)])
+    pieces, index, lost, time_gaps, due = [], [], 0, 0, None
+    for b, e, k, last in zip(begin, np.append(begin[1:], len(data)), opens, np.append(opens[1:], len(es))):
+        part = data[b:e]
+        if bytes(part[:3]) != b"\0\0\1" or len(part) < 9:
             raise ValueError("no elementary packet where one is announced")
-        head = 9 + int(data[b + 8])
-        index.append((_pts(data[b + 9 : b + 14]) if data[b + 7] & 0x80 else None, int(rows[k]), bool(access[k])))
-        size = int(data[b + 4]) << 8 | int(data[b + 5])
-        pieces.append(data[b + head : b + 6 + size if size else e])
+        head, size = 9 + int(part[8]), int(part[4]) << 8 | int(part[5])
+        pts = _pts(part[9:14]) if part[7] & 0x80 and len(part) >= 14 else None
+        whole = broken[last] == broken[k + 1] and len(part) >= head and (not size or len(part) == 6 + size)
+        if due is not None and pts is not None and pts != due:
+            time_gaps += 1
+        due = None
+        if whole:
+            samples = part[head:]
+            pieces.append(samples)
+            if pts is not None:
+                due = pts + len(samples) * CLOCK // RATE & (1 << 33) - 1
+        lost += not whole
+        index.append((pts, int(rows[k]), bool(access[k]), bool(whole)))
+    if len(opens) == 0 or opens[0] > 0:
+        lost += 1  # what comes before the first start
     samples = pieces[0] if len(pieces) == 1 else np.concatenate(pieces or [np.zeros(0, np.uint8)])
-    return samples, {"stream_type": stream_type, "packets": len(packets), "cc_errors": errors, "index": index}
+    return samples, {"stream_type": stream_type, "packets": len(packets), "cc_errors": errors, "lost": lost, "time_gaps": time_gaps, "index": index}
 
 
 def padded(text: np.ndarray) -> np.ndarray:
@@ -193,10 +249,13 @@ def with_media(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(store, "doc_id long, n_bytes long, media binary")
 
 
-def read_media(media: DataFrame) -> DataFrame:
-    """The streams of with_media, read back: digests of samples and media, and the index of times and random-access points."""
-    index = pa.list_(pa.struct([("pts", pa.int64()), ("packet", pa.int64()), ("random_access", pa.bool_())]))
-    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("cc_errors", pa.int32()), ("index", index)]
+def read_media(media: DataFrame, strict: bool = True) -> DataFrame:
+    """The streams of with_media, read back: digests of samples and media, errors, and the index of times and random-access points.
+
+    strict: missing packets are an error. Else the digests are those of the elementary packets that came whole.
+    """
+    index = pa.list_(pa.struct([("pts", pa.int64()), ("packet", pa.int64()), ("random_access", pa.bool_()), ("whole", pa.bool_())]))
+    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("cc_errors", pa.int32()), ("lost", pa.int32()), ("index", index)]
     out = pa.schema(fields)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,10 +265,14 @@ def read_media(media: DataFrame) -> DataFrame:
                 for i in range(len(media)):
                     stored = media.one(i)
                     samples, found = demux(stored)
+                    if strict and (found["cc_errors"] or found["lost"] or found["time_gaps"]):
+                        raise ValueError(f"packets are missing in the media of doc_id {part.column(0)[i]}: {found['cc_errors']} breaks, {found['lost']} elementary packets lost, {found['time_gaps']} gaps in time")
                     at = found["index"]
-                    feature = f"type={found['stream_type']};packets={found['packets']};pes={len(at)};rap={sum(x[2] for x in at)};pts={at[0][0]}-{at[-1][0]};mean={samples.mean():.4f}"
-                    rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, found["cc_errors"], [{"pts": a, "packet": b, "random_access": c} for a, b, c in at]))
+                    span = f"{at[0][0]}-{at[-1][0]}" if at else "-"
+                    mean = samples.mean() if len(samples) else 0.0
+                    feature = f"type={found['stream_type']};packets={found['packets']};pes={len(at)};rap={sum(x[2] for x in at)};pts={span};mean={mean:.4f}"
+                    rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, found["cc_errors"], found["lost"], [{"pts": a, "packet": b, "random_access": c, "whole": d} for a, b, c, d in at]))
                 columns = [pa.array(c, f[1]) for c, f in zip(zip(*rows), fields[2:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], schema=out)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(parse, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, cc_errors int, index array<struct<pts:long,packet:long,random_access:boolean>>")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(parse, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, cc_errors int, lost int, index array<struct<pts:long,packet:long,random_access:boolean,whole:boolean>>")

@@ -24,12 +24,11 @@ def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = langid.held_out(folds=3, fold=1)
     model = langid.fit_languages(docs.where(~out))
-    return langid.identify_languages(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+    return langid.identify_languages(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "mixture")
 
 
 def op2_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mpegts.read_media(mpegts.with_media(read(spark, sf_dir, "documents")))
-    return found.drop("index", "cc_errors")
+    return mpegts.read_media(mpegts.with_media(read(spark, sf_dir, "documents")))
 
 
 def op3_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +80,17 @@ l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where
 e as (select a, b from l union all select b, a from l), d as (select a as doc_id, count(*) as n_similar from e group by a),
 r(doc_id, other) as (select a, b from e union select r.doc_id, e.b from r join e on e.a = r.other), c as (select doc_id, least(doc_id, min(other)) as component_id from r group by doc_id)
 select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(n_similar, 0) as n_similar, coalesce(component_id, w.doc_id) as component_id from w left join n using (doc_id) left join d using (doc_id) left join c using (doc_id)""",
+    # The hexadecimal text stands for bytes. Pieces of 699 bytes keep the cost of substring apart from a text's length.
+    "op4_suffix_dedup": """with b as (select doc_id, hex(coalesce(text, '')) as x from documents),
+e as (select doc_id, base, substring(x, 2 * base + 1, 1398) as part from (select doc_id, x, unnest(range(0, length(x) // 2 - 199, 500)) as base from b)),
+s as (select doc_id, base + j as i, md5(substring(part, 2 * j + 1, 400)) as h from (select *, unnest(range(length(part) // 2 - 199)) as j from e)),
+f as (select doc_id, i from s semi join (select h from s group by h having count(*) > 1) using (h)),
+g as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from f),
+r as (select doc_id, i, sum((before is null or i > before + 200)::int) over (partition by doc_id order by i) as k from g),
+p as (select doc_id, min(i) as lo, max(i) + 200 as hi from r group by doc_id, k),
+q as (select doc_id, lo, hi, lag(hi, 1, 0) over w as from_, row_number() over w as k, count(*) over (partition by doc_id) as n from p window w as (partition by doc_id order by lo)),
+c as (select doc_id, count(*) as n_spans, sum(hi - lo)::bigint as n_removed, string_agg(substring(x, (2 * from_ + 1)::bigint, (2 * (lo - from_))::bigint), '' order by lo) || substring(any_value(x), (2 * max(hi) + 1)::bigint) as kept from q join b using (doc_id) group by doc_id)
+select b.doc_id, length(b.x) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, b.x))) as kept_sha256 from b left join c using (doc_id)""",
     "op9_block_anchors": f"""with w as (select doc_id, {_WORDS.format("coalesce(text, '')")} as t from documents),
 x as (select doc_id, i, md5(array_to_string(t[i : i + 49], ' ')) as h from (select doc_id, t, unnest(range(1, greatest(len(t) - 48, 1))) as i from w)),
 f as (select h, min(doc_id) as least from x group by h), g as (select distinct doc_id, i + k as i from x join f using (h), range(50) k(k) where doc_id > least),
