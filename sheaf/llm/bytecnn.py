@@ -1,14 +1,15 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A byte is six learned values and one measured one: how well the bytes around it repeat those of a
-short way back, at the best of a few lags. Filters of 16 bytes, applied every 8 bytes so that
-chunks overlap and cover the whole document, are rectified and max-pooled over the document; a
-logistic layer makes one probability of them. Trained by Adam; only the chunks that win a maximum
-pass a gradient on.
+A chunk's filters are of two kinds, learned together: linear ones over the learned values of 16
+bytes, and lag filters, which weigh how much the learned echo values of bytes agree with those 2 to
+16 bytes before. Chunks start every 8 bytes, overlap and cover the whole document; their filters' sums are rectified and
+max-pooled over the document, and a logistic layer makes one probability of them. Trained by Adam;
+only the chunks that win a maximum pass a gradient on.
 
 Defined results: a null or empty text is scored as 16 zero bytes; without labelled rows, or with
-labels of one kind only, every score is their share (0.5 without any). Equal texts get equal scores.
-The input's other columns are ignored.
+labels of one kind only, every score is their share (0.5 without any). Equal texts get equal scores,
+whatever stands beside them: nothing reaches over a document's ends, and sums are exact.
+Repeated rows and rows without a doc_id are scored each; an empty table gives an empty result. The input's other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,73 +25,127 @@ from pyspark.sql import functions as F
 from ._text import Texts, chunks, texts_of
 
 WIDTH, STRIDE, EMBED, FILTERS = 16, 8, 6, 24
-LAGS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 16)
-SPAN = 32  # bytes over which repetition is measured
+LAGS = np.arange(2, 17)
+SPAN, ECHO, REACH = 32, 3, 16  # bytes a lag filter looks at, values of each, bytes it reaches back
+NOTHING = 256  # stands before each document; its values are 0
+TILE = 4096  # chunks of one matrix product
+#: What weights are rounded to, and clipped at, after training. Sums of their products are exact then, in any order.
+GRID = {"embed": (2**-6, 4), "filters": (2**-8, 2), "echo": (2**-5, 4), "lags": (2**-8, 4), "bias": (2**-14, 64)}
 
 
-def chunked(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of each chunk (chunks by WIDTH), its repetition, and each document's first chunk.
+class Chunks:
+    """Documents cut in chunks: flat has REACH times NOTHING before each document, its bytes, then zeros up to its last chunk's end.
 
-    A document of n bytes has the chunks that start at 0, 8, .. and reach its last byte; what lies
-    beyond its end is byte 0.
+    A document of n bytes has the chunks that start at 0, 8, .. and reach its last byte.
     """
-    lens = np.maximum(texts.lens, 1)
-    n = np.maximum(1, -(-(lens - WIDTH) // STRIDE) + 1)
-    first = np.concatenate([[0], np.cumsum(n)[:-1]])
-    size = (n - 1) * STRIDE + WIDTH
-    at = np.concatenate([[0], np.cumsum(size)])
-    flat = np.zeros(at[-1], np.uint8)
-    keep = texts.lens > 0
-    if keep.any():
-        place = np.repeat(at[:-1][keep] - texts.bounds[:-1][keep], texts.lens[keep]) + np.arange(len(texts.data))
-        flat[place] = texts.data
-    starts = np.repeat(at[:-1] - first * STRIDE, n) + np.arange(n.sum()) * STRIDE
-    best = np.zeros(len(starts), np.float32)
-    blocks = len(flat) // STRIDE
-    lo = np.minimum(starts // STRIDE, blocks)
-    hi = np.minimum(lo + SPAN // STRIDE, blocks)
-    stop = np.repeat(at[1:] // STRIDE, n)
-    hi = np.maximum(np.minimum(hi, stop), lo + 1)
-    for lag in LAGS:
-        same = np.zeros(len(flat), np.uint8)
-        np.equal(flat[lag:], flat[:-lag], out=same[lag:].view(bool))
-        sums = np.concatenate([[0], np.cumsum(same[: blocks * STRIDE].reshape(-1, STRIDE).sum(1, dtype=np.int32))])
-        np.maximum(best, ((sums[np.minimum(hi, blocks)] - sums[np.minimum(lo, blocks)]) / ((hi - lo) * STRIDE)).astype(np.float32), out=best)
-    windows = np.lib.stride_tricks.sliding_window_view(flat, WIDTH)[starts]
-    return windows, best, first
+
+    def __init__(self, texts: Texts):
+        n = np.maximum(1, -(-(np.maximum(texts.lens, 1) - WIDTH) // STRIDE) + 1)
+        self.first = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        ends = np.cumsum((n - 1) * STRIDE + WIDTH + REACH)
+        begin = np.concatenate([[0], ends[:-1]]) + REACH
+        self.flat = np.zeros(ends[-1], np.uint16)
+        self.flat[(begin[:, None] - REACH + np.arange(REACH)).reshape(-1)] = NOTHING
+        self.flat[np.repeat(begin - texts.bounds[:-1], texts.lens) + np.arange(len(texts.data))] = texts.data
+        self.start = np.repeat(begin - self.first[:-1] * STRIDE, n) + np.arange(n.sum()) * STRIDE
+        self.size = np.minimum(self.start + SPAN, np.repeat(ends, n)) - self.start
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def windows(self, rows: np.ndarray | slice) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(self.flat, WIDTH)[self.start[rows]]
+
+    def echoes(self, values: np.ndarray) -> np.ndarray:
+        """Chunks by lags: the mean agreement of the bytes of a span with those so far before."""
+        e = values[self.flat]
+        blocks = len(self.flat) // STRIDE
+        lo, hi = self.start // STRIDE, (self.start + self.size) // STRIDE
+        total = np.zeros((blocks + SPAN // STRIDE, len(LAGS)), np.float32)
+        width = STRIDE * ECHO
+        for at in range(0, blocks, 4096):  # a part stays in the cache for all lags
+            to = min(at + 4096, blocks)
+            own = e[at * STRIDE : to * STRIDE].reshape(-1, width)
+            skip = -(-REACH // STRIDE) if at == 0 else 0  # nothing stands there
+            for j, lag in enumerate(LAGS):
+                total[at + skip : to, j] = np.einsum("ij,ij->i", own[skip:], e[(at + skip) * STRIDE - lag : to * STRIDE - lag].reshape(-1, width))
+        out = np.zeros((len(self), len(LAGS)), np.float32)
+        for k in range(SPAN // STRIDE):
+            out += total[lo + k] * (lo + k < hi)[:, None]
+        return out / self.size[:, None].astype(np.float32)
 
 
 class ByteCnn:
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
         f = lambda *s, scale: (r.standard_normal(s) * scale).astype(np.float32)
-        self.w = {"embed": f(256, EMBED, scale=0.5), "filters": f(WIDTH * EMBED, FILTERS, scale=0.1), "repeat": f(FILTERS, scale=0.5), "bias": np.zeros(FILTERS, np.float32), "out": f(FILTERS, scale=0.2), "base": np.zeros(1, np.float32)}
+        self.w = {"embed": f(NOTHING + 1, EMBED, scale=0.5), "filters": f(WIDTH * EMBED, FILTERS, scale=0.1), "echo": f(NOTHING + 1, ECHO, scale=0.6), "lags": f(len(LAGS), FILTERS, scale=0.3), "bias": np.zeros(FILTERS, np.float32), "out": f(FILTERS, scale=0.2), "base": np.zeros(1, np.float32)}
+        self.w["echo"][NOTHING] = 0
         self.fixed: float | None = None
 
-    def pooled(self, windows: np.ndarray, repeat: np.ndarray, first: np.ndarray, where: bool = False):
-        w, parts = self.w, []
-        for at in range(0, len(windows), 16_384):
-            x = w["embed"][windows[at : at + 16_384]].reshape(-1, WIDTH * EMBED)
-            parts.append(x @ w["filters"] + repeat[at : at + 16_384, None] * w["repeat"] + w["bias"])
-        z = np.maximum(np.concatenate(parts), 0)
-        top = np.maximum.reduceat(z, first, axis=0)
-        if not where:
-            return top
-        doc = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(windows))))
-        hit = z == top[doc]
-        arg = np.empty(top.shape, np.int64)
-        for k in range(FILTERS):
-            rows = np.flatnonzero(hit[:, k])[::-1]
-            arg[doc[rows], k] = rows
-        return top, arg
+    def responses(self, made: Chunks, echoes: np.ndarray, kind: type) -> np.ndarray:
+        """Chunks by filters, rectified."""
+        w, z = self.w, np.empty((len(made), FILTERS), kind)
+        lags, bias = w["lags"].astype(kind), w["bias"].astype(kind)
+        for at in range(0, len(made), TILE):
+            x = w["embed"][made.windows(slice(at, at + TILE))].reshape(-1, WIDTH * EMBED)
+            z[at : at + TILE] = x @ w["filters"] + (echoes[at : at + TILE].astype(kind) @ lags + bias)
+        return np.maximum(z, 0, out=z)
 
     def score(self, texts: Texts) -> np.ndarray:
         if self.fixed is not None or len(texts) == 0:
             return np.full(len(texts), self.fixed or 0.0)
-        top = self.pooled(*chunked(texts))
-        return 1 / (1 + np.exp(-np.clip((top @ self.w["out"] + self.w["base"]).astype(float), -30, 30)))
-
-    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 14, batch: int = 32, rate: float = 0.01, seed: int = 3) -> ByteCnn:
+        made = Chunks(texts)
+        echoes = np.rint(made.echoes(self.w["echo"]) * 256) / 256
+        top = np.maximum.reduceat(self.responses(made, echoes, np.float64), made.first[:-1], axis=0)
+        total = (top * self.w["out"].astype(float)).sum(1) + float(self.w["base"][0])
+        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+    def _echo_gradient(self, made: Chunks, rows: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """Of the echo values, given those of chunks' lag means (back: rows by lags)."""
+        at = made.start[rows][:, None] + np.arange(-REACH, SPAN)
+        there = np.arange(-REACH, SPAN) < made.size[rows][:, None]
+        byte = np.where(there, made.flat[np.minimum(at, len(made.flat) - 1)], NOTHING)
+        scale = back / made.size[rows][:, None].astype(np.float32)
+        out = np.zeros_like(self.w["echo"])
+        for k in range(ECHO):
+            e = self.w["echo"][:, k][byte]
+            d = np.zeros_like(e)
+            for j, lag in enumerate(LAGS):
+                s = scale[:, j, None]
+                early = slice(REACH - lag, REACH - lag + SPAN)
+                d[:, REACH:] += s * e[:, early]
+                d[:, early] += s * e[:, REACH:]
+            out[:, k] = np.bincount(byte.reshape(-1), weights=d.reshape(-1), minlength=NOTHING + 1)
+        out[NOTHING] = 0
+        return out
+
+    def _gradient(self, made: Chunks, labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the weighted logistic loss. Documents that are decided already hardly count, and pass none to the filters."""
+        w = self.w
+        echoes = made.echoes(w["echo"])
+        z = self.responses(made, echoes, np.float32)
+        top = np.maximum.reduceat(z, made.first[:-1], axis=0)
+        p = 1 / (1 + np.exp(-np.clip(top @ w["out"] + w["base"], -30, 30)))
+        d = (p - labels).astype(np.float32) * weight / len(labels)
+        g = {"out": top.T @ d + 1e-4 * w["out"], "base": d.sum(keepdims=True)}
+        docs = np.flatnonzero(np.abs(d) > 0.01 * np.abs(d).max())
+        b = (d[docs, None] * w["out"] * (top[docs] > 0)).reshape(-1)
+        chunk = np.concatenate([made.first[i] + z[made.first[i] : made.first[i + 1]].argmax(0) for i in docs])
+        used = np.flatnonzero(b)
+        chunk, k, b = chunk[used], np.tile(np.arange(FILTERS), len(docs))[used], b[used]
+        byte = made.windows(chunk)
+        x = w["embed"][byte].reshape(-1, WIDTH * EMBED)
+        pick = np.zeros((len(b), FILTERS), np.float32)
+        pick[np.arange(len(b)), k] = b
+        g["filters"], g["lags"], g["bias"] = x.T @ pick, echoes[chunk].T @ pick, pick.sum(0)
+        back = (pick @ w["filters"].T).reshape(-1, EMBED)
+        g["embed"] = np.stack([np.bincount(byte.reshape(-1), weights=back[:, j], minlength=NOTHING + 1) for j in range(EMBED)], 1)
+        g["echo"] = self._echo_gradient(made, chunk, pick @ w["lags"].T)
+        return g
+
+    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 8, least_steps: int = 250, batch: int = 32, rate: float = 0.01, seed: int = 3) -> ByteCnn:
+        """epochs over the texts, or as many as make least_steps steps."""
         if len(labels) == 0 or labels.min() == labels.max():
             self.fixed = float(labels.mean()) if len(labels) else 0.5
             return self
@@ -98,27 +153,14 @@ class ByteCnn:
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
         share, step = labels.mean(), 0
         weight = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+        epochs = max(epochs, -(-least_steps * batch // len(texts)))
         for epoch in range(epochs):
             order = r.permutation(len(texts))
             for at in range(0, len(order), batch):
                 rows = order[at : at + batch]
                 some = [texts[i] for i in rows]
-                windows, repeat, first = chunked(Texts(np.concatenate(some), np.concatenate([[0], np.cumsum([len(x) for x in some])])))
-                top, arg = self.pooled(windows, repeat, first, where=True)
-                p = 1 / (1 + np.exp(-np.clip(top @ w["out"] + w["base"], -30, 30)))
-                d = (p - labels[rows]).astype(np.float32) * weight[rows] / len(rows)
-                g = {"out": top.T @ d + 1e-4 * w["out"], "base": d.sum(keepdims=True)}
-                back = d[:, None] * w["out"] * (top > 0)
-                flat, k = arg.reshape(-1), np.tile(np.arange(FILTERS), len(rows))
-                b = back.reshape(-1)
-                x = w["embed"][windows[flat]].reshape(-1, WIDTH * EMBED)
-                gf = np.zeros_like(w["filters"].T)
-                np.add.at(gf, k, x * b[:, None])
-                g["filters"] = gf.T
-                g["repeat"], g["bias"] = (repeat[flat].reshape(top.shape) * back).sum(0), back.sum(0)
-                ge = np.zeros_like(w["embed"])
-                np.add.at(ge, windows[flat].reshape(-1), (w["filters"].T[k] * b[:, None]).reshape(-1, EMBED))
-                g["embed"] = ge
+                made = Chunks(Texts(np.concatenate(some), np.concatenate([[0], np.cumsum([len(x) for x in some])])))
+                g = self._gradient(made, labels[rows], weight[rows])
                 step += 1
                 now = rate * (1 - epoch / epochs)
                 for name, v in w.items():
@@ -128,6 +170,8 @@ class ByteCnn:
                     v -= (now * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         # the weighting above moved the odds; this puts them back to the labels' own share
         w["base"] += np.float32(np.log(share / (1 - share)))
+        for name, (grid, most) in GRID.items():
+            w[name] = (np.rint(np.clip(w[name], -most, most) / grid) * grid).astype(np.float32)
         return self
 
 
