@@ -4,14 +4,15 @@ Each language is a distribution over hashed byte trigrams of case-folded text. A
 mixture of languages; expectation-maximisation estimates the proportions, and a language joins the
 document's set only if the penalised likelihood rises.
 
-Defined results: null text or a text without a letter gives `und` with score 0; no usable labelled
-row gives `und` for every document; repeated rows give repeated results; the input's other columns,
-whatever their names, are ignored. Texts are used whole. The candidate that joins a set next is the
+Defined results: null text or a text without a letter gives `und` with score 0 and an empty mixture; no usable
+labelled row gives `und` for every document; repeated rows, and rows without a doc_id, have a result each; an empty
+table gives an empty result; the input's other columns, whatever their names, are ignored. Texts are used whole. The candidate that joins a set next is the
 one with the steepest likelihood; ties go to the language that sorts first.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,15 +92,17 @@ class LanguageModel:
         return theta
 
 
-def fit_languages(labelled: DataFrame, docs_per_lang: int = 1500, most_langs: int = 512) -> LanguageModel:
+def fit_languages(labelled: DataFrame, docs_per_lang: int = 1500, most_langs: int = 4096) -> LanguageModel:
     """Learns from rows (doc_id, text, lang).
 
-    A bounded sample: of each of the most_langs most frequent languages, about docs_per_lang documents (2 *
-    docs_per_lang at most), those with the lowest hash of doc_id, with their whole texts. What comes
-    to the driver is one count per language and bucket.
+    A bounded sample: of each language about docs_per_lang documents, those with the lowest hash of doc_id, with their
+    whole texts. What comes to the driver is one count per language and bucket. The model grows with the number of
+    languages; over most_langs values of lang are an error, none is left out.
     """
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    sizes = rows.groupBy("lang").count().limit(most_langs + 1).collect()
+    if len(sizes) > most_langs:
+        raise ValueError(f"lang has over {most_langs} values")
     if not sizes:
         return LanguageModel([], np.zeros((0, BUCKETS)))
     names = sorted(r["lang"] for r in sizes)
@@ -112,15 +115,12 @@ def fit_languages(labelled: DataFrame, docs_per_lang: int = 1500, most_langs: in
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(code), BUCKETS), np.int64)
-        seen = np.zeros(len(code), np.int64)
         for batch in batches:
             for part in chunks(batch, 1 << 20, 256):
                 texts, langs = texts_of(part.column(1)), part.column(2).to_pylist()
                 c = trigram_counts(texts, slice(0, len(texts)))
                 for i, lang in enumerate(langs):
-                    if (k := code.get(lang)) is not None and seen[k] < 2 * docs_per_lang:
-                        total[k] += c[i].astype(np.int64)
-                        seen[k] += 1
+                    total[code[lang]] += c[i].astype(np.int64)
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[lang, bucket], pa.int64())], names=["lang", "bucket", "n"])
 
@@ -130,6 +130,16 @@ def fit_languages(labelled: DataFrame, docs_per_lang: int = 1500, most_langs: in
     return LanguageModel(names, counts)
 
 
+def mixtures(names: list[str], theta: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Each row's languages of a share over 0, largest first, ties by name."""
+    row, lang = np.nonzero(theta)
+    order = np.lexsort((lang, -theta[row, lang], row))
+    row, lang = row[order], lang[order]
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(theta)))]).astype(np.int32)
+    parts = pa.StructArray.from_arrays([pa.array(names, pa.string()).take(pa.array(lang)), pa.array(theta[row, lang].astype(float))], names=["lang", "share"])
+    return pa.ListArray.from_arrays(pa.array(bounds), parts).cast(kind)
+
+
 def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs' doc_id with lang_pred, score (its proportion) and mixture (language and proportion, largest first)."""
     schema = "doc_id long, lang_pred string, score double, mixture array<struct<lang:string,share:double>>"
@@ -152,7 +162,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
                         part.column(0).cast(pa.int64()),
                         pa.array([names[k] if ok else "und" for k, ok in zip(top, letters)], pa.string()),
                         pa.array(np.where(letters, np.clip(score, 0, 1), 0.0)),
-                        pa.array([[{"lang": names[k], "share": float(t[k])} for k in np.argsort(-t, kind="stable") if t[k] > 0] if ok else [] for t, ok in zip(theta, letters)], out.field(3).type),
+                        mixtures(names, np.where(letters[:, None], theta, 0), out.field(3).type),
                     ],
                     schema=out,
                 )
@@ -161,15 +171,20 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least_share: float = 0.5) -> DataFrame:
-    """The rows of docs, with all columns, whose text has a letter and a language of least_share of it at least."""
+    """The rows of docs, with all columns, whose text has a letter and a language of least_share of it at least.
+
+    A model that has learned no language rejects none: rows whose text has a letter stay.
+    """
     column = docs.columns.index("text")
+    if not model.names:
+        warnings.warn("no language was learned, so none is rejected", stacklevel=2)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, 2 << 20, 256):
                 texts = texts_of(part.column(column))
                 letters = pc.match_substring_regex(part.column(column), r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
-                share = model.infer(trigram_counts(texts, slice(0, len(texts)))).max(1, initial=0)
+                share = model.infer(trigram_counts(texts, slice(0, len(texts)))).max(1, initial=0) if model.names else np.ones(len(texts))
                 yield part.filter(pa.array(letters & (share >= least_share)))
 
     return docs.mapInArrow(keep, docs.schema)
