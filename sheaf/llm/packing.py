@@ -7,8 +7,8 @@ The others give up the sequences that aren't full; these pieces mix in new parti
 packed again, as long as that saves sequences.
 
 Defined results: a null or empty text is a document of its end id alone; repeated rows are packed
-each; ties in length go by doc_id, then piece; an empty table gives an empty result. The input's
-other columns are ignored. A partition's pieces, a few numbers each, are what one task holds.
+each, and so are rows without a doc_id; ties in length go by doc_id, then piece; an empty table gives an empty
+result. The input's other columns are ignored. A partition's pieces, a few numbers each, are what one task holds.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ._store import scratch, written
 from ._text import SPACE, Texts, chunks, texts_of
 
-#: Texts with a longer run of white space or of other bytes go to the slower library, whose time doesn't grow with the square of it.
+#: Texts with a longer run of white space or of other bytes go to the slower library, whose time doesn't grow with the square of it. Both give the same ids: see _same_merges.
 LONG_RUN = 400
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECE_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -63,10 +63,33 @@ def _ranked(path: str):
     places = [spec["model"]["vocab"]["".join(m)] for m in merges]
     if places != sorted(places) or any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] for t in spec["added_tokens"]):
         return None
+    if not _same_merges(ranks, [tuple(bytes(byte[c] for c in x) for x in m) for m in merges]):
+        return None
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     return tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
+def _same_merges(ranks: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> bool:
+    """Whether joining any two symbols whose bytes are a token, lowest token first, is the same as following the list of merges.
+
+    Symbols that stand side by side and make token t have joined nothing outside, so within t they went as t alone
+    would. So it is enough that each token alone, by the tokens before it, ends as the pair that its merge names.
+    """
+    if len({a + b for a, b in merges}) != len(merges) or {a + b for a, b in merges} != {t for t in ranks if len(t) > 1}:
+        return False
+    for a, b in merges:
+        token = a + b
+        limit, parts = ranks[token], [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], limit))
+            if ranks.get(parts[best] + parts[best + 1], limit) >= limit:
+                break
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        if parts != [a, b]:
+            return False
+    return True
+
+
 def _longest_run(texts: Texts) -> np.ndarray:
     """An upper bound for each text's longest run of white space or of other bytes: a run within it is cut nowhere."""
     if not len(texts.data):
@@ -112,7 +135,7 @@ def cut_pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) ->
 
 
 def lower_bound(lengths: np.ndarray, size: int) -> int:
-    """Sequences needed at least: the best of the dual-feasible functions u_k and U_e over a few parameters."""
+    """Sequences needed at least: the best of the dual-feasible functions u_k, for k up to 20, and U_e, for every length e that can matter."""
     if not len(lengths):
         return 0
     values, counts = np.unique(lengths, return_counts=True)
@@ -122,7 +145,7 @@ def lower_bound(lengths: np.ndarray, size: int) -> int:
         whole = (k + 1) * values % size == 0
         scaled = np.where(whole, values * k, (k + 1) * values // size * size)
         best = max(best, -(-int((scaled * counts).sum()) // (size * k)))
-    for e in np.unique(np.concatenate([values[values <= size // 2], [0]]))[:: max(1, len(values) // 200)]:
+    for e in np.unique(np.concatenate([values[values <= size // 2], [0]])):
         scaled = np.where(values > size - e, size, np.where(values < e, 0, values))
         best = max(best, -(-int((scaled * counts).sum()) // size))
     return best
