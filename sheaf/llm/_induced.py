@@ -42,35 +42,45 @@ def _types(text: np.ndarray) -> np.ndarray:
     return small
 
 
+def _run_places(text: np.ndarray) -> np.ndarray:
+    """How many equal characters stand right before each place."""
+    at = np.arange(len(text), dtype=np.int32)
+    start = np.where(np.append(True, text[1:] != text[:-1]), at, 0)
+    return at - np.maximum.accumulate(start)
+
+
+def _down_runs(batch: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """batch, then the suffixes one place before each within its run of equal characters, then two before, and so on; and the run starts in that order."""
+    r = run[batch]
+    longest = int(r.max()) if len(r) else 0
+    if not longest:
+        return batch, batch
+    total = np.cumsum(r)
+    step = np.arange(1, total[-1] + 1) - np.repeat(total - r, r)
+    more = np.repeat(batch, r) - step
+    done = np.concatenate([batch, more[np.argsort(step, kind="stable")]]).astype(np.int32)
+    return done, (batch - r)[np.argsort(r, kind="stable")].astype(np.int32)
+
+
 def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
     """All suffixes, in the order that seeds (LMS suffixes, by first character at least) give them."""
     cuts = np.searchsorted(text[seeds], np.arange(size + 1))
+    run = _run_places(text)
     queues, large = _Queues(text, size), []
     for c in range(size):
-        batch, done = queues.take(c), []
-        while len(batch):
-            done.append(batch)
-            before = batch[batch > 0] - 1
-            before = before[~small[before]]
-            same = text[before] == c
-            queues.push(before[~same])
-            batch = before[same]
-        large.append(done[0] if len(done) == 1 else np.concatenate(done) if done else np.zeros(0, np.int32))
+        done, starts = _down_runs(queues.take(c), run)
+        large.append(done)
+        before = starts[starts > 0] - 1
+        queues.push(before[~small[before]])
         own = seeds[cuts[c] : cuts[c + 1]]
         queues.push(own[own > 0] - 1)
     out = []
     for c in range(size - 1, -1, -1):
-        batch, done = queues.take(c), []
-        while len(batch):
-            done.append(batch)
-            before = batch[batch > 0] - 1
-            before = before[small[before]]
-            same = text[before] == c
-            queues.push(before[~same])
-            batch = before[same]
-        out += done
+        done, starts = _down_runs(queues.take(c), run)
+        before = starts[starts > 0] - 1
+        queues.push(before[small[before]])
         back = large[c][::-1]
-        out.append(back)
+        out += [done, back]
         before = back[back > 0] - 1
         queues.push(before[small[before]])
     return np.concatenate([np.array([len(text) - 1], np.int32), np.concatenate(out)[::-1]])
@@ -118,8 +128,8 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) - 7,), np.dtype("<u8"), np.ascontiguousarray(data), strides=(1,))
 
 
-def repeated(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which of the places starts begin a string of `length` bytes that begins at another of them too.
+def equal_groups(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of places starts, ordered so that those where equal strings of `length` bytes begin are neighbours; and whether each begins the same as the one before.
 
     data holds pieces that end at bounds; each string lies in one piece. length is a multiple of 8.
     """
@@ -136,6 +146,6 @@ def repeated(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, length: i
     live = np.arange(1, len(order))
     for k in range(0, length, 8):
         live = live[words[at[live] + k] == words[at[live - 1] + k]]
-    out = np.zeros(len(starts), bool)
-    out[order[live]] = out[order[live - 1]] = True
-    return out
+    same = np.zeros(len(order), bool)
+    same[live] = True
+    return order, same

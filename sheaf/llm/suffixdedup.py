@@ -7,8 +7,8 @@ cut into shards of bounded size, and each shard's suffixes are sorted by inducti
 are neighbours then. A hash with over `most` segments isn't given to one shard: its strings are
 counted by their own 128-bit hashes, in aggregates with partial sums.
 
-Documents with equal bytes are one class: every byte of its members goes, if a string fits, and one
-member represents the class as a place where others' strings start.
+Documents with equal bytes are one class: every byte of its members goes, if a string fits (or, where first
+occurrences stay, of all but the least), and one member represents the class as a place where others' strings start.
 
 Defined results: null is the empty text; texts shorter than `length` bytes lose nothing; matches
 never cross documents, but may overlap in one; rows without a doc_id are left out; rows of one
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._filters import rows_of, without
-from ._induced import repeated, words_at
+from ._induced import equal_groups, words_at
 from ._store import discard, scratch, written
 from ._text import U64, Texts, chunks, mix, texts_of
 
@@ -148,7 +148,7 @@ def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 SPANS = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64())])
 
 
-def _sort_shard(length: int):
+def _sort_shard(length: int, keep_first: bool):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         coded = rows.column("raw").combine_chunks().dictionary_encode()
         codes, pieces = coded.indices.to_numpy(), texts_of(coded.dictionary)
@@ -156,17 +156,33 @@ def _sort_shard(length: int):
         times = np.bincount(codes, minlength=len(pieces))
         n = pieces.lens - length + 1
         first = np.concatenate([[0], np.cumsum(n)])
-        starts = np.arange(first[-1]) + np.repeat(pieces.bounds[:-1] - first[:-1], n)
-        found = repeated(pieces.data, pieces.bounds[1:], starts, length)
-        found |= np.repeat(times > 1, n)
+        piece, local = np.repeat(np.arange(len(pieces)), n), np.arange(first[-1]) - np.repeat(first[:-1], n)
+        order, same = equal_groups(pieces.data, pieces.bounds[1:], pieces.bounds[piece] + local, length)
+        found = np.repeat(times > 1, n)
+        found[order[same]] = found[order[np.flatnonzero(same) - 1]] = True
+        by_place = np.lexsort((at, doc, codes))
+        lowest = by_place[np.searchsorted(codes[by_place], np.arange(len(pieces)))]  # each piece's first segment
+        spared = np.zeros(0, np.int64)
+        if keep_first:
+            # of each group of equal strings the one that stands first in the corpus, in its piece's first segment
+            group = np.cumsum(~same)
+            seg = lowest[piece[order]]
+            by_group = np.lexsort((at[seg] + local[order], doc[seg], group))
+            spared = order[by_group[np.append(True, group[by_group][1:] != group[by_group][:-1])[: len(order)]]]
         # runs within the pieces, then for each segment with that piece
-        piece = np.repeat(np.arange(len(pieces)), n)[found]
-        p, a, k = _runs(piece, (np.arange(first[-1]) - np.repeat(first[:-1], n))[found])
+        p, a, k = _runs(piece[found], local[found])
         order = np.argsort(codes, kind="stable")
         lo, size = np.searchsorted(codes[order], p), times[p]
         each = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         seg = order[np.repeat(lo, size) + each]
-        return pa.Table.from_arrays([pa.array(doc[seg]), pa.array(at[seg] + np.repeat(a, size)), pa.array(np.repeat(k, size))], schema=SPANS)
+        a, k = np.repeat(a, size), np.repeat(k, size)
+        if keep_first:
+            own = np.zeros(first[-1], bool)
+            own[spared] = True
+            others = seg != lowest[codes[seg]]
+            p, b, m = _runs(piece[found & ~own], local[found & ~own])
+            seg, a, k = np.concatenate([seg[others], lowest[p]]), np.concatenate([a[others], b]), np.concatenate([k[others], m])
+        return pa.Table.from_arrays([pa.array(doc[seg]), pa.array(at[seg] + a), pa.array(k)], schema=SPANS)
 
     return run
 
@@ -198,15 +214,18 @@ def _cut(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, keep_text: bool = True, most: int = 8192, shard_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256; with keep_text also kept, null where nothing was removed."""
+def remove_repeats(docs: DataFrame, length: int = 200, keep_text: bool = True, keep_first: bool = False, most: int = 8192, shard_bytes: int = 4 << 20) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256; with keep_text also kept, null where nothing was removed.
+
+    keep_first: a string that comes several times stays where it starts first, by doc_id and place; of documents with equal bytes, the least stays.
+    """
     if length % 8 or length < 2 * GRAM:
         raise ValueError(f"length must be a multiple of 8 and {2 * GRAM} at least")
     with scratch() as keep:
-        return keep(written(_remove(docs, length, keep_text, most, shard_bytes), "left"))
+        return keep(written(_remove(docs, length, keep_text, keep_first, most, shard_bytes), "left"))
 
 
-def _remove(docs: DataFrame, length: int, keep_text: bool, most: int, shard_bytes: int) -> DataFrame:
+def _remove(docs: DataFrame, length: int, keep_text: bool, keep_first: bool, most: int, shard_bytes: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     known = docs.mapInArrow(_profile, "doc_id long, n long, hi long, lo long, sha binary")
     known = written(known.groupBy("doc_id").agg(F.max(F.struct("n", "hi", "lo", "sha")).alias("s")).select("doc_id", "s.*"), "profiles")
@@ -227,15 +246,18 @@ def _remove(docs: DataFrame, length: int, keep_text: bool, most: int, shard_byte
     part = part.where("octet_length(text) = size").select("doc_id", "text", "wanted")
     pieces = part.mapInArrow(_segment_bytes(length), "shard int, doc_id long, at long, raw binary, k1 long, k2 long")
     if wanted.where(F.col("times") > most).isEmpty():
-        spans = pieces.groupBy("shard").applyInArrow(_sort_shard(length), "doc_id long, at long, n long")
+        spans = pieces.groupBy("shard").applyInArrow(_sort_shard(length, keep_first), "doc_id long, at long, n long")
     else:
         pieces = written(pieces, "pieces")
-        spans = pieces.where("shard is not null").groupBy("shard").applyInArrow(_sort_shard(length), "doc_id long, at long, n long")
+        spans = pieces.where("shard is not null").groupBy("shard").applyInArrow(_sort_shard(length, keep_first), "doc_id long, at long, n long")
         hot = pieces.where("shard is null").select("k1", "k2", "doc_id", "at")
-        twice = hot.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at")).alias("x"), F.max(F.struct("doc_id", "at")).alias("y")).where("x <> y").select("k1", "k2")
-        found = hot.join(twice, ["k1", "k2"], "left_semi").select("doc_id", "at").mapInArrow(_hot_runs, "doc_id long, at long, n long")
+        twice = hot.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at")).alias("x"), F.max(F.struct("doc_id", "at")).alias("y")).where("x <> y").select("k1", "k2", "x")
+        found = hot.join(twice, ["k1", "k2"])
+        if keep_first:
+            found = found.where(F.struct("doc_id", "at") != F.col("x"))
+        found = found.select("doc_id", "at").mapInArrow(_hot_runs, "doc_id long, at long, n long")
         spans = spans.unionByName(found)
-    spans = written(spans.join(known.where("members = 1").select("doc_id"), "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "spans")
+    spans = written(spans.join(known.where("own" if keep_first else "members = 1").select("doc_id"), "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "spans")
     discard(wanted)
     cut = rows_of(docs, spans.select("doc_id")).join(spans, "doc_id").join(known.select("doc_id", F.col("n").alias("size")), "doc_id").where("octet_length(text) = size").select("doc_id", "text", "spans")
     cut = cut.mapInArrow(_cut(length), "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
@@ -243,6 +265,8 @@ def _remove(docs: DataFrame, length: int, keep_text: bool, most: int, shard_byte
         cut = cut.drop("kept")
     cut = written(cut, "cut").dropDuplicates(["doc_id"])
     copy = (F.col("members") > 1) & (F.col("n") >= length)
+    if keep_first:
+        copy &= ~F.col("own")
     out = known.join(cut, "doc_id", "left")
     sha = F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).when(F.col("n_removed").isNull(), F.lower(F.hex("sha"))).otherwise(F.col("kept_sha256"))
     return out.select(
@@ -258,10 +282,10 @@ def _remove(docs: DataFrame, length: int, keep_text: bool, most: int, shard_byte
 def cleaned(docs: DataFrame, length: int = 200) -> DataFrame:
     """The rows of docs, with all columns; text is what is left of it, without characters that lost some of their bytes.
 
-    Rows that lose their whole text go. A column n_chars is counted anew. Rows without a doc_id stay as they are.
+    Each string that comes twice stays where it starts first. Rows that lose their whole text go. A column n_chars is counted anew. Rows without a doc_id stay as they are.
     """
     with scratch() as keep:
-        changed = keep(written(remove_repeats(docs, length).where("n_removed > 0").select("doc_id", "kept"), "changed"))
+        changed = keep(written(remove_repeats(docs, length, keep_first=True).where("n_removed > 0").select("doc_id", "kept"), "changed"))
     out = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
