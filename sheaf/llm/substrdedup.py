@@ -184,7 +184,9 @@ def _remove(docs: DataFrame, window: int, keep_text: bool) -> DataFrame:
     reps = known.where("own").select("doc_id")
 
     probes = written(docs.mapInArrow(_probe(k, index, bits), "h long, cls long, doc_id long, pos int"), "probes")
-    shared = probes.groupBy("h").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("h")
+    # a hit: a block of one document that is a window of another. All of an anchor's places are hits, without making pairs of them.
+    is_block = F.col("pos") % k == 0
+    shared = probes.groupBy("h").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.bool_or(is_block).alias("block")).where("block and x <> y").select("h")
     hits = probes.join(shared, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("hits")).join(reps, "doc_id")
     hits = written(hits, "hits")
     discard(probes)
