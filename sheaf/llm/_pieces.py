@@ -79,15 +79,6 @@ class Pieces:
         hit = self.keys[slot] == keys
         return np.where(hit, self.merged[slot], 0), np.where(hit, self.ranks[slot], NONE)
 
-    def pair(self, left: int, right: int) -> tuple[int, int]:
-        key = left << 20 | right
-        slot = int(self._slot(np.array([key], np.uint64))[0])
-        while (found := int(self.keys[slot])) != key:
-            if found == 2**64 - 1:
-                return 0, int(NONE)
-            slot = slot + 1 & (1 << self.bits) - 1
-        return int(self.merged[slot]), int(self.ranks[slot])
-
 
 @lru_cache(2)
 def pieces(path: str) -> Pieces:
@@ -135,3 +126,41 @@ def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
     """The concatenation of flat[s : s + n]."""
     ends = np.cumsum(lens)
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lens), lens)]
+
+
+def apart(model: Pieces, hit: np.ndarray, sym: np.ndarray, to: np.ndarray, word: np.ndarray, after: np.ndarray, before: np.ndarray, rank: int | np.ndarray, nowhere: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of one rank each word can merge at once, and which must wait.
+
+    hit: places of pairs, rising; rank: theirs, one for all or one for each. Of pairs that overlap in a row every
+    second one goes, from the left. Where a merge makes a pair that doesn't come after this rank, its word's leftmost
+    pair goes alone: the new one is due before the others.
+    """
+    alone = np.ones(len(hit), bool)
+    alone[1:] = word[hit[1:]] != word[hit[:-1]]
+    several = np.zeros(len(hit), bool)  # in a word with more than one
+    several[:-1] = ~alone[1:]
+    several |= ~alone
+    if not several.any():
+        return hit, hit[:0]
+    linked = np.zeros(len(hit), bool)
+    linked[1:] = after[hit[:-1]] == hit[1:]
+    place = np.arange(len(hit))
+    run = np.maximum.accumulate(np.where(linked, 0, place))
+    keep = (place - run) % 2 == 0
+    i = hit[keep]
+    far = after[after[i]]
+    prev = before[i]
+    made = to[i]
+    r = rank if np.ndim(rank) == 0 else rank[keep]
+    next_too = np.append(far[:-1] == i[1:], False)
+    prev_too = np.append(False, far[:-1] == i[1:])
+    least = np.full(len(i), NONE)
+    for left, right, there in ((made, sym[far], far != nowhere), (made, np.append(made[1:], 0), next_too), (sym[prev], made, (prev != nowhere) & ~prev_too)):
+        at = np.flatnonzero(there & several[keep])
+        if len(at):
+            least[at] = np.minimum(least[at], model.pairs(left[at], right[at])[1])
+    early = least <= r
+    if early.any():
+        held = np.isin(word[i], word[i[early]])
+        keep[np.flatnonzero(keep)[held & ~alone[keep]]] = False
+    return hit[keep], hit[~keep]

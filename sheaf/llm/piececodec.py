@@ -1,13 +1,14 @@
 """SentencePiece encoding and decoding for merge-type vocabularies.
 
-A word's adjacent symbol pairs form an agenda ordered by score, then place; the best pair merges,
-and the pairs beside it enter the agenda anew. Distinct words of up to LONG characters are done
-many at once: each row of a matrix is one word, and every row takes the best pair of its agenda in
-the same step. A longer word has a heap of its own, so that its length costs n log n. Every check_every-th text
-of an Arrow batch is also encoded by the library; a difference stops the job.
+The adjacent symbol pairs of a batch's distinct words form one agenda, ordered by score, then by
+place. What has the best score is taken from it for all words at once; merging a pair enters the
+pairs beside it. Within a word this is the library's order: pairs of one score are merged
+together only where the new pairs all come later, else the leftmost alone. A word's length doesn't matter.
+Every text is also encoded by the library, a batch in one call; a difference stops the job.
 
 Defined results: null is the empty text, which has only the begin and end ids; equal texts give
-equal results; the input's other columns are ignored. Characters without a piece give the ids of
+equal results; repeated rows, and rows without a doc_id, have a result each; an empty table gives an
+empty result; the input's other columns are ignored. Characters without a piece give the ids of
 their UTF-8 bytes.
 """
 
@@ -22,118 +23,106 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._pieces import NONE, Pieces, characters, distinct_words, gather, pieces
+from ._pieces import NONE, Pieces, apart, characters, distinct_words, gather, pieces
 from ._text import chunks
 
-LONG = 32
 
-
-def merge_heap(model: Pieces, symbols: list[int]) -> list[int]:
-    """The symbols left when no pair merges; places of the others hold -1."""
+class Agenda:
+    """Places of pairs by rank, lowest first. A place may be there several times, and under ranks it no longer has."""
+
+    def __init__(self, rank: np.ndarray):
+        live = np.flatnonzero(rank != NONE)
+        order = live[np.argsort(rank[live], kind="stable")]
+        keys, heads = np.unique(rank[order], return_index=True)
+        self.parts = {k: [x] for k, x in zip(keys.tolist(), np.split(order, heads[1:]))} if len(order) else {}
+        self.heap = list(self.parts)  # sorted, so a heap
+
+    def enter(self, places: np.ndarray, rank: np.ndarray) -> None:
+        if len(places) > 1:
+            order = np.argsort(rank, kind="stable")
+            places, rank = places[order], rank[order]
+        ends = np.flatnonzero(np.append(rank[1:] != rank[:-1], True)) + 1
+        at = 0
+        for to in ends.tolist():
+            k = int(rank[at])
+            if k in self.parts:
+                self.parts[k].append(places[at:to])
+            else:
+                self.parts[k] = [places[at:to]]
+                heapq.heappush(self.heap, k)
+            at = to
+
+    def take(self) -> tuple[int, np.ndarray]:
+        k = heapq.heappop(self.heap)
+        parts = self.parts.pop(k)
+        return k, np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+
+
+def merged(model: Pieces, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The symbols of words from first[i] to first[i + 1] when no pair merges any more, each where it begins; -1 elsewhere."""
     n = len(symbols)
-    sym, nxt, prev = list(symbols), [*range(1, n), -1], [*range(-1, n - 1)]
-    left = np.array(symbols[:-1], np.int64)
-    to, rank = model.pairs(left, np.array(symbols[1:], np.int64))
-    agenda = [(int(rank[i]), int(i), int(sym[i]), int(sym[i + 1]), int(to[i])) for i in np.flatnonzero(rank != NONE)]
-    heapq.heapify(agenda)
-
-    def enter(i: int, j: int) -> None:
-        to, rank = model.pair(sym[i], sym[j])
-        if rank != NONE:
-            heapq.heappush(agenda, (rank, i, sym[i], sym[j], to))
-
-    while agenda:
-        _, i, a, b, to = heapq.heappop(agenda)
-        j = nxt[i]
-        if sym[i] != a or j < 0 or sym[j] != b:
+    sym = symbols.astype(np.int32)
+    # nowhere is n: it has no symbol, and no pair begins there
+    sym, after, before = np.append(sym, model.size), np.arange(1, n + 2), np.arange(-1, n)
+    after[n], before[0] = n, n
+    inner = first[1:-1]
+    ends = np.unique(first[1:]) - 1
+    after[ends[ends >= 0]] = n
+    heads = inner[inner < n]
+    before[heads] = n
+    before[n] = n
+    word = np.append(np.repeat(np.arange(len(first) - 1), np.diff(first)), -1)
+    to, rank = np.zeros(n + 1, np.int32), np.full(n + 1, NONE)
+    starts = np.flatnonzero(after[:n] < n)
+    to[starts], rank[starts] = model.pairs(sym[starts], sym[starts + 1])
+    agenda = Agenda(rank)
+
+    def look(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        made, r = model.pairs(sym[i], sym[j])
+        return made, np.where((i == n) | (j == n), NONE, r)
+
+    while agenda.heap:
+        k, hit = agenda.take()
+        hit = hit[rank[hit] == k]
+        if len(hit) > 1:
+            hit, left = apart(model, hit, sym, to, word, after, before, k, n)
+            if len(left):
+                agenda.enter(left, np.full(len(left), k, rank.dtype))
+        if not len(hit):
             continue
-        sym[i], sym[j] = to, -1
-        nxt[i] = nxt[j]
-        if nxt[i] >= 0:
-            prev[nxt[i]] = i
-            enter(i, nxt[i])
-        if prev[i] >= 0:
-            enter(prev[i], i)
-    return sym
-
-
-def merge_rows(model: Pieces, sym: np.ndarray) -> np.ndarray:
-    """merge_heap for each row of a matrix whose rows end in -1s; what is left stands first."""
-    n, width = sym.shape
-    if width < 2:
-        return sym
-
-    def look(a, b):
-        to, rank = model.pairs(np.maximum(a, 0), np.maximum(b, 0))
-        return to, np.where((a < 0) | (b < 0), NONE, rank)
-
-    shape = (n, width - 1)
-    to, rank = (x.reshape(shape) for x in look(sym[:, :-1].reshape(-1), sym[:, 1:].reshape(-1)))
-    done, rows = sym.copy(), np.arange(n)
-    while True:
-        at = rank.argmin(1)
-        live = rank[np.arange(len(at)), at] != NONE
-        if not live.all():
-            done[rows[~live], : sym.shape[1]] = sym[~live]
-            done[rows[~live], sym.shape[1] :] = -1
-            rows, sym, to, rank, at = rows[live], sym[live], to[live], rank[live], at[live]
-        if not len(rows):
-            return done
-        r = np.arange(len(rows))
-        sym[r, at] = to[r, at]
-        shift = np.arange(width - 1)
-        sym = np.take_along_axis(sym, shift + (shift > at[:, None]), 1)
-        if width == 2:
-            done[rows, :1], done[rows, 1:] = sym, -1
-            return done
-        shift = shift[:-1] + (shift[:-1] > at[:, None])
-        to, rank = np.take_along_axis(to, shift, 1), np.take_along_axis(rank, shift, 1)
-        width -= 1
-        k = np.minimum(at, width - 2)
-        fits = at < width - 1
-        t, m = look(sym[r, k], sym[r, k + 1])
-        to[r[fits], k[fits]], rank[r[fits], k[fits]] = t[fits], m[fits]
-        before = at > 0
-        k = np.maximum(at - 1, 0)
-        t, m = look(sym[r, k], sym[r, k + 1])
-        to[r[before], k[before]], rank[r[before], k[before]] = t[before], m[before]
+        gone = after[hit]
+        sym[hit] = to[hit]
+        sym[gone], rank[gone] = -1, NONE
+        far = after[gone]
+        after[hit] = far
+        back = far < n
+        before[far[back]] = hit[back]
+        prev = before[hit]
+        for i, j in ((hit, far), (prev, hit)):
+            made, r = look(i, j)
+            real = i < n
+            to[i[real]], rank[i[real]] = made[real], r[real]
+            new = real & (r != NONE)
+            if new.any():
+                agenda.enter(i[new], r[new])
+    return sym[:n]
 
 
 def encode_words(model: Pieces, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words one after another, and where each word's begin."""
     points, first = characters(words)
-    sym, lens = model.symbol[points], np.diff(first)
-    left = np.full(len(sym), -1, np.int32)
-    low = 0
-    for high in (3, 5, 7, 9, 12, 16, 23, LONG):
-        rows = np.flatnonzero((lens > low) & (lens <= high))
-        low = high
-        for at in range(0, len(rows), 50_000):
-            some = rows[at : at + 50_000]
-            cols = np.arange(high)
-            ok = cols < lens[some, None]
-            place = np.where(ok, first[some, None] + cols, 0)
-            done = merge_rows(model, np.where(ok, sym[place], -1))
-            left[place[ok]] = done[ok]
-    for i in np.flatnonzero(lens > LONG):
-        left[first[i] : first[i + 1]] = merge_heap(model, sym[first[i] : first[i + 1]].tolist())
-    if (bare := np.flatnonzero(left >= model.size)).size:
-        # In rows the symbols left stand first, so characters without a piece are taken in order.
-        size = np.where(left < 0, 0, 1).astype(np.int64)
-        word = np.repeat(np.arange(len(lens)), lens)
-        lost = np.flatnonzero(sym >= model.size)
-        raw = [chr(points[j]).encode() for j in lost]
-        size[bare] = [len(x) for x in raw]
-        at = np.cumsum(size) - size
-        flat = np.empty(size.sum(), np.int32)
-        keep = (left >= 0) & (left < model.size)
-        flat[at[keep]] = left[keep]
-        for j, x in zip(bare, raw):
-            flat[at[j] : at[j] + len(x)] = model.byte_ids[list(x)]
-        return flat, np.concatenate([[0], np.cumsum(np.bincount(word, weights=size, minlength=len(lens)).astype(np.int64))])
-    keep = left >= 0
-    ends = np.concatenate([[0], np.cumsum(keep)])
-    return left[keep], ends[first]
+    left = merged(model, model.symbol[points], first)
+    bare = np.flatnonzero(left >= model.size)
+    size = (left >= 0).astype(np.int64)
+    raw = [chr(points[j]).encode() for j in bare]
+    size[bare] = [len(x) for x in raw]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    flat = np.empty(ends[-1], np.int32)
+    keep = (left >= 0) & (left < model.size)
+    flat[ends[:-1][keep]] = left[keep]
+    for j, x in zip(bare, raw):
+        flat[ends[j] : ends[j + 1]] = model.byte_ids[list(x)]
+    return flat, ends[first]
 
 
 @lru_cache(2)
@@ -159,8 +148,11 @@ def encode_batch(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def encode_decode(docs: DataFrame, path: str, check_every: int = 32, keep_ids: bool = True) -> DataFrame:
-    """doc_id, ids, their number and digest, and the digest of what decode() makes of them; without ids and text where keep_ids is false."""
+def encode_decode(docs: DataFrame, path: str, check: bool = True, keep_ids: bool = True) -> DataFrame:
+    """doc_id, ids, their number and digest, and the digest of what decode() makes of them; without ids and text where keep_ids is false.
+
+    check: every text's ids are compared with the library's.
+    """
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] * keep_ids
     out = pa.schema(fields)
 
@@ -169,11 +161,14 @@ def encode_decode(docs: DataFrame, path: str, check_every: int = 32, keep_ids: b
         for batch in batches:
             for part in chunks(batch, 8 << 20, 20_000):
                 ids, bounds = encode_batch(path, part.column(1))
-                for i in range(0, len(part), check_every):
-                    if lib.encode(part.column(1)[i].as_py() or "", add_bos=True, add_eos=True) != ids[bounds[i] : bounds[i + 1]].tolist():
-                        raise ValueError(f"the library encodes the text of doc_id {part.column(0)[i]} differently")
                 own = [ids[bounds[i] : bounds[i + 1]] for i in range(len(part))]
-                text = [lib.decode(x.tolist()) for x in own]
+                lists = [x.tolist() for x in own]
+                if check:
+                    theirs = lib.encode([t or "" for t in part.column(1).to_pylist()], add_bos=True, add_eos=True, num_threads=1)
+                    if theirs != lists:
+                        i = next(i for i, (x, y) in enumerate(zip(theirs, lists)) if x != y)
+                        raise ValueError(f"the library encodes the text of doc_id {part.column(0)[i]} differently")
+                text = lib.decode(lists, num_threads=1)
                 columns = [part.column(0).cast(pa.int64()), pa.array(np.diff(bounds)), pa.array([hashlib.sha256(x.astype("<u4")).hexdigest() for x in own]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in text])]
                 if keep_ids:
                     columns += [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.array(text, pa.string())]

@@ -1,13 +1,14 @@
 """Token counts by rank-synchronous array merging.
 
 The distinct words of a batch of texts stand one after another in one array of symbols. In each
-step every word merges the leftmost pair of its lowest rank, all words at once, and words without
-a pair that merges leave the array. The symbols that survive are the tokens; a character without a
-piece counts as many as it has UTF-8 bytes. Words of more than LONG characters, for which a step
-each would add up, are merged with a heap. No ids are made of symbols.
+step every word merges its pairs of lowest rank, all words at once, and words without a pair that
+merges leave the array. The symbols that survive are the tokens; a character without a piece counts
+as many as it has UTF-8 bytes. No ids are made of symbols. A long word takes about as many steps as
+it has ranks of pairs, in an array that holds it and other long ones alone.
 
 Defined results: null counts as the empty text, which has no token; equal texts have equal counts;
-the input's other columns are ignored.
+repeated rows, and rows without a doc_id, are counted each; an empty table gives an empty result; the
+input's other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,11 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._pieces import NONE, Pieces, characters, distinct_words, pieces, utf8_size
+from ._pieces import NONE, Pieces, apart, characters, distinct_words, pieces, utf8_size
 from ._text import chunks, texts_of
-from .piececodec import merge_heap
-
-LONG = 128
 
 
 def surviving(model: Pieces, points: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -32,10 +30,6 @@ def surviving(model: Pieces, points: np.ndarray, first: np.ndarray) -> np.ndarra
     word = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
     bare = sym >= model.size
     count = lens + np.bincount(word[bare], weights=utf8_size(points[bare]) - 1, minlength=len(lens)).astype(np.int64)
-    for i in np.flatnonzero(lens > LONG):
-        count[i] -= sum(s < 0 for s in merge_heap(model, sym[first[i] : first[i + 1]].tolist()))
-    live = (lens <= LONG)[word]
-    sym, word = sym[live], word[live]
     if len(sym) < 2:
         return count
     to, rank = model.pairs(sym[:-1], sym[1:])
@@ -50,15 +44,23 @@ def surviving(model: Pieces, points: np.ndarray, first: np.ndarray) -> np.ndarra
             size, lowest = size[lowest != NONE], lowest[lowest != NONE]
             if not len(sym):
                 break
-        hit = np.flatnonzero(rank == np.repeat(lowest, size))
-        hit = hit[np.concatenate([[True], word[hit[1:]] != word[hit[:-1]]])]
+        n = len(sym)
+        lowest = np.repeat(lowest, size)
+        hit = np.flatnonzero(rank == lowest)
+        if len(hit) > 1 and (word[hit[1:]] == word[hit[:-1]]).any():
+            # the places beside each one, n for none
+            after, before = np.arange(1, n + 2), np.arange(-1, n)
+            ends = np.flatnonzero(np.append(word[1:] != word[:-1], True))
+            after[ends], after[n], before[0], before[n] = n, n, n, n
+            before[ends[:-1] + 1] = n
+            hit, _ = apart(model, hit, np.append(sym, model.size), to, word, after, before, lowest[hit], n)
         sym[hit] = to[hit]
-        count[word[hit]] -= 1
-        stay = np.ones(len(sym), bool)
+        np.subtract.at(count, word[hit], 1)
+        stay = np.ones(n, bool)
         stay[hit + 1] = False
         rank[hit] = NONE
         sym, word, to, rank = sym[stay], word[stay], to[stay], rank[stay]
-        hit -= np.arange(len(hit))
+        hit = hit - np.arange(len(hit))
         again = np.concatenate([hit, hit[hit > 0] - 1])
         again = again[again < len(sym) - 1]
         again = again[word[again] == word[again + 1]]
