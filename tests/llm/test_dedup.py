@@ -1,48 +1,15 @@
-import hashlib
-import re
-from collections import defaultdict
-
 import numpy as np
 import pytest
 
 from sheaf.llm import _components, ngramjoin, substrdedup, suffixdedup
 from sheaf.llm._induced import suffix_order
 
-WORD = re.compile("[^\x20\x09-\x0d]+")
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-
-
-def sha(x: bytes) -> str:
-    return hashlib.sha256(x).hexdigest()
-
+from .brute import WORD, left, repeats, sha, similar
 
-def similar(texts, n=3, percent=70):
-    sets = {}
-    for i, t in texts.items():
-        w = WORD.findall(t.translate(LOWER))
-        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
-    root, degree = {i: i for i in sets}, defaultdict(int)
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids = sorted(sets)
-    for p, a in enumerate(ids):
-        for b in ids[p + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                degree[a] += 1
-                degree[b] += 1
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), degree[i], find(i)) for i in sets}
-
-
-@pytest.mark.parametrize("most, block", [(4096, 256), (2, 4)])
+@pytest.mark.parametrize("most, block", [(4096, 1_500_000), (2, 300), (2, 64)])
 def test_jaccard_join(corpus, texts, most, block):
-    """The second case sends shared n-grams the salted way and splits the clusters."""
+    """The other cases send shared n-grams the salted way and cut the clusters in blocks."""
     got = {r.doc_id: (r.n_shingles, r.n_similar, r.component_id) for r in ngramjoin.similar_documents(corpus, most=most, block=block).collect()}
     assert got == similar(texts)
 
@@ -65,23 +32,13 @@ def covered(flags):
     return int(sum(flags)), int(sum(f and not (i and flags[i - 1]) for i, f in enumerate(flags)))
 
 
-@pytest.mark.parametrize("most", [8192, 1])
-def test_suffix_dedup(corpus, texts, most):
-    """The second case counts every string by its hash."""
-    raw, n, starts = {i: t.encode() for i, t in texts.items()}, 200, defaultdict(int)
-    for b in raw.values():
-        for k in range(len(b) - n + 1):
-            starts[b[k : k + n]] += 1
-    want = {}
-    for i, b in raw.items():
-        gone = np.zeros(len(b), bool)
-        for k in range(len(b) - n + 1):
-            if starts[b[k : k + n]] > 1:
-                gone[k : k + n] = True
-        want[i] = (len(b), *covered(gone), sha(bytes(x for x, g in zip(b, gone) if not g)))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.remove_repeats(corpus, most=most, shard_bytes=4000).collect()}
+@pytest.mark.parametrize("most, keep_first", [(8192, False), (1, False), (8192, True), (1, True)])
+def test_suffix_dedup(corpus, texts, most, keep_first):
+    """most = 1 counts every string by its hash."""
+    want = {i: (len(texts[i].encode()), *covered(gone), sha(left(texts[i], gone))) for i, gone in repeats(texts, keep_first=keep_first).items()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.remove_repeats(corpus, most=most, keep_first=keep_first, shard_bytes=4000).collect()}
     assert got == want
-    assert sum(w[1] for w in want.values()) > 3000
+    assert sum(w[1] for w in want.values()) > 1500
 
 
 def test_cleaned_keeps_columns(corpus):
@@ -116,3 +73,7 @@ def test_suffix_order():
     for _ in range(100):
         t = np.append(r.integers(1, r.integers(2, 6), r.integers(1, 60)), 0).astype(np.uint16)
         assert suffix_order(t, 300).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    runs = np.append(np.repeat([3, 1, 3, 2, 3], [20_000, 5, 20_000, 3, 9]), 0).astype(np.uint16)
+    order = suffix_order(runs, 10**6)
+    text = bytes(runs.astype(np.uint8))
+    assert sorted(order.tolist()) == list(range(len(text))) and all(text[i:] < text[j:] for i, j in zip(order[:-1], order[1:]))
