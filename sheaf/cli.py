@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -76,12 +77,13 @@ def data_fair_split(spark, a):
 
 
 def streams_build(spark, a):
-    """Stream definitions and labels for the files of a directory; a file counts with as many pages as --pages says."""
-    files = corpus.scan_files(spark, a.dir, a.pattern).select("source")
-    if files.isEmpty():
+    """Stream definitions and labels for the files of a directory. Pages are counted in the files, unless --pages says how many each has."""
+    if corpus.list_files(spark, a.dir, a.pattern).isEmpty():
         raise UserError(f"there is no {a.pattern} below {a.dir}")
-    specs = sampling.stream_specs(files, a.n_streams, a.mean_docs, a.seed)
-    pages = corpus.concat_sources(specs.withColumn("n_pages", F.lit(a.pages).cast("long")))
+    files = corpus.scan_files(spark, a.dir, a.pattern)
+    sizes = files.select("source", F.lit(a.pages).cast("long").alias("n_pages")) if a.pages else corpus.page_counts(files)
+    specs = sampling.stream_specs(files.select("source"), a.n_streams, a.mean_docs, a.seed)
+    pages = corpus.concat_sources(specs.join(sizes, "source"))
     pages.write.mode("overwrite").parquet(f"{a.out}/pages")
     print(f"{a.out}: {a.n_streams} streams, {pages.count()} pages")
 
@@ -99,8 +101,11 @@ def show(name: str, r) -> None:
     print(f"{name}: {r['n_streams']} streams, page F1 {r['page_f1_mean']:.3f}, PQ {r['pq_mean']:.3f}, STP {r['stp']:.3f}, MNDD {r['mndd_mean']:.3f}")
 
 
-def featured(c: corpus.Corpus):
+def featured(c: corpus.Corpus, *names: str):
+    """Pages with all features that the corpus has, and an embedding where one of the models reads it."""
     pages = c.with_text()
+    if any(map(models.needs_embedding, names)):
+        pages = models.encode_distinct(pages)
     if c.layout is not None:
         pages = corpus.with_default(pages, c.layout, "layout", 14)
     return pages if c.visual is None else corpus.with_default(pages, c.visual, "visual", 17)
@@ -112,13 +117,13 @@ def eval_run(spark, a):
     c = corpus.Corpus.load(spark, a.corpus)
     if a.test_corpus:
         other = corpus.Corpus.load(spark, a.test_corpus)
-        train, test = featured(c), featured(corpus.Corpus(other.pages, *(getattr(c.merged(other), k) for k in ("text", "layout", "visual"))))
+        train, test = featured(c, a.model), featured(corpus.Corpus(other.pages, *(getattr(c.merged(other), k) for k in ("text", "layout", "visual"))), a.model)
     else:
-        both = streams.split_streams(featured(c), a.train_frac)
+        both = streams.split_streams(featured(c, a.model), a.train_frac)
         train, test = both.where("train").drop("train"), both.where("not train").drop("train")
     if test.isEmpty():
         raise UserError("no stream is left to test on")
-    m = models.build_model(a.model, a.threshold, a.trees)
+    m = models.build_model(a.model, a.threshold, a.trees, a.vocab)
     if hasattr(m, "fit"):
         m.fit(train)
     show(a.model, evaluate.evaluate(m, test).first())
@@ -127,11 +132,11 @@ def eval_run(spark, a):
 def eval_prospective(spark, a):
     if a.slices < 2:
         raise UserError("there must be two slices at least")
-    pages = featured(corpus.Corpus.load(spark, a.corpus))
+    pages = featured(corpus.Corpus.load(spark, a.corpus), *a.models.split(","))
     if pages.select("stream_id").distinct().count() < a.slices:
         raise UserError("there are fewer streams than slices")
     sliced = streams.slice_streams(pages, a.slices).withColumn("slice_name", F.concat(F.lit("slice"), (F.col("slice_id") + 1).cast("string")))
-    made = [models.build_model(n, trees=a.trees) for n in a.models.split(",")]
+    made = [models.build_model(n, trees=a.trees, vocab=a.vocab) for n in a.models.split(",")]
     print(evaluate.format_results(evaluate.walk_forward(made, sliced)))
 
 
@@ -156,13 +161,13 @@ def parser() -> argparse.ArgumentParser:
     command(area, "resample-streams", data_resample, *place, o("--n-streams", type=int, default=200), *drawn)
     command(area, "fair-split", data_fair_split, o("--in", dest="input", required=True), o("--train-out", required=True), o("--test-out", required=True), o("--n-train", type=int, default=400), o("--n-test", type=int, default=100), o("--train-frac", type=float, default=0.8), *drawn)
     area = areas.add_parser("streams").add_subparsers(required=True)
-    command(area, "build", streams_build, o("dir"), o("out"), o("--n-streams", type=int, default=100), o("--mean-docs", type=float, default=10.0), o("--seed", type=int, default=0), o("--pattern", default="*.pdf"), o("--pages", type=int, default=1))
+    command(area, "build", streams_build, o("dir"), o("out"), o("--n-streams", type=int, default=100), o("--mean-docs", type=float, default=10.0), o("--seed", type=int, default=0), o("--pattern", default="*.pdf"), o("--pages", type=int, default=None))
     area = areas.add_parser("eval").add_subparsers(required=True)
     command(area, "baseline-smoke", eval_smoke)
     command(area, "prospective-smoke", eval_prospective_smoke)
-    trees = o("--trees", type=int, default=None)
-    command(area, "run", eval_run, o("--corpus", required=True), o("--test-corpus"), o("--model", required=True), o("--train-frac", type=float, default=0.8), o("--threshold", type=float, default=0.5), trees)
-    command(area, "prospective", eval_prospective, o("--corpus", required=True), o("--models", default="trivial:every-page,trivial:never-split"), o("--slices", type=int, default=4), trees)
+    trees = o("--trees", type=int, default=None), o("--vocab", type=int, default=None)
+    command(area, "run", eval_run, o("--corpus", required=True), o("--test-corpus"), o("--model", required=True), o("--train-frac", type=float, default=0.8), o("--threshold", type=float, default=0.5), *trees)
+    command(area, "prospective", eval_prospective, o("--corpus", required=True), o("--models", default="trivial:every-page,trivial:never-split"), o("--slices", type=int, default=4), *trees)
     return top
 
 
@@ -170,7 +175,12 @@ def main(args: list[str] | None = None) -> int:
     given = parser().parse_args(args)
     try:
         given.run(session(), given)
-    except (UserError, FileNotFoundError) as e:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        print(f"there is no such file or directory: {', '.join(map(str, (e.getMessageParameters() or {}).values()))}", file=sys.stderr)
+        return 2
+    except (UserError, ValueError, FileNotFoundError) as e:
         print(e, file=sys.stderr)
         return 2
     return 0

@@ -2,13 +2,15 @@
 
 OCR: `ocr_text` and `ocr_layout` walk JSON of any nesting in Arrow batches; `ocr_layout_of_lines`
 is the JVM-side way for the usual shape, a list of words with eight coordinates. Images: a grey
-96 x 96 grid becomes 17 numbers; decoding image bytes is left to a function that the caller gives,
-since no decoder is part of the package.
+96 x 96 grid becomes 17 numbers. `decode_image` reads PNG and binary PGM and PPM itself, and other kinds
+where Pillow is installed; another decoder may be given.
 """
 
 from __future__ import annotations
 
 import json
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -145,8 +147,10 @@ def visual_of(grid: np.ndarray, width: int, height: int) -> list[float]:
     return [float(v) for v in (width / max(1, height), grid.mean(), grid.std(), (across + down) / 2, *(p.mean() for p in halves + cells))]
 
 
-def image_features(decode: Callable[[bytes], tuple[np.ndarray, int, int]]):
-    """A UDF from image bytes to visual_of. decode gives the grid, width and height; no bytes or any error of it give zeros."""
+def image_features(decode: Callable[[bytes], tuple[np.ndarray, int, int]] | None = None):
+    """A UDF from image bytes to visual_of. decode gives the grid, width and height, decode_image's by default; no bytes or any error of it give zeros."""
+
+    decode = decode or decode_image
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def visual(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -162,18 +166,87 @@ def image_features(decode: Callable[[bytes], tuple[np.ndarray, int, int]]):
     return visual
 
 
-def decode_pgm(raw: bytes) -> tuple[np.ndarray, int, int]:
-    """Binary PGM (P5), resampled to the grid by area means; needs no image library."""
-    head = raw.split(maxsplit=4)
-    if head[0] != b"P5":
-        raise ValueError("not a binary PGM")
-    width, height, top = (int(v) for v in head[1:4])
-    pixels = np.frombuffer(raw[len(raw) - width * height :], np.uint8).reshape(height, width) / top
-    for axis, size in ((0, height), (1, width)):
+def _resampled(pixels: np.ndarray) -> np.ndarray:
+    """The grid of a grey image, by area means."""
+    for axis in (0, 1):
+        size = pixels.shape[axis]
         edges = np.linspace(0, size, GRID + 1)
         sums = np.concatenate([np.zeros_like(pixels.take([0], axis)), pixels.cumsum(axis)], axis)
         low = np.minimum(edges.astype(int), size - 1)
         part = (edges - low).reshape([-1, 1] if axis == 0 else [1, -1])
         at = sums.take(low, axis) + part * pixels.take(low, axis)
         pixels = np.diff(at, axis=axis) / (size / GRID)
-    return pixels, width, height
+    return pixels
+
+
+def _grey(pixels: np.ndarray) -> np.ndarray:
+    """Luma of the channels, without the one for transparency."""
+    return pixels[..., 0] if pixels.shape[-1] < 3 else pixels[..., :3] @ np.array([0.299, 0.587, 0.114])
+
+
+def _pnm(raw: bytes) -> np.ndarray:
+    head = raw.split(maxsplit=4)
+    width, height, top = (int(v) for v in head[1:4])
+    n = 3 if head[0] == b"P6" else 1
+    if top > 255:
+        raise ValueError("more than 8 bits a sample")
+    return np.frombuffer(raw[len(raw) - width * height * n :], np.uint8).reshape(height, width, n) / top
+
+
+def _png(raw: bytes) -> np.ndarray:
+    at, data, palette = 8, b"", None
+    while at < len(raw):
+        size, kind = struct.unpack_from(">I4s", raw, at)
+        body = raw[at + 8 : at + 8 + size]
+        at += 12 + size
+        if kind == b"IHDR":
+            width, height, depth, color, _, _, interlaced = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            data += body
+    if interlaced or depth == 16:
+        raise ValueError("interlaced and 16-bit PNG aren't supported")
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
+    step, line = max(1, channels * depth // 8), -(-width * channels * depth // 8)
+    rows = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, line + 1)
+    out, above = np.zeros((height, line), np.uint8), np.zeros(line, np.uint8)
+    for y in range(height):
+        kind, now = rows[y, 0], rows[y, 1:].copy()
+        if kind == 2:
+            now += above
+        elif kind:
+            left = above.astype(int).tolist()
+            x = now.tolist()
+            for i in range(line):
+                a, b, c = (x[i - step], left[i], left[i - step]) if i >= step else (0, left[i], 0)
+                if kind == 1:
+                    x[i] = x[i] + a & 255
+                elif kind == 3:
+                    x[i] = x[i] + (a + b) // 2 & 255
+                else:
+                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                    x[i] = x[i] + (a if pa <= pb and pa <= pc else b if pb <= pc else c) & 255
+            now = np.array(x, np.uint8)
+        out[y] = above = now
+    if depth < 8:
+        bits = np.unpackbits(out, axis=1).reshape(height, -1, depth)
+        out = (bits @ (1 << np.arange(depth)[::-1]))[:, : width * channels]
+    pixels = out.reshape(height, width, channels)
+    return palette[pixels[..., 0]] / 255 if color == 3 else pixels / ((1 << depth) - 1)
+
+
+def decode_image(raw: bytes) -> tuple[np.ndarray, int, int]:
+    """The grid, width and height of an image."""
+    if raw[:8] == b"\x89PNG\r\n\x1a\n":
+        pixels = _grey(_png(raw))
+    elif raw[:2] in (b"P5", b"P6"):
+        pixels = _grey(_pnm(raw))
+    else:
+        import io
+
+        from PIL import Image  # not part of the package's needs; without it other kinds of image have no features
+
+        pixels = np.asarray(Image.open(io.BytesIO(raw)).convert("L"), float) / 255
+    height, width = pixels.shape
+    return _resampled(pixels), width, height

@@ -8,13 +8,17 @@ Spark's logistic regression, with the regularisation that C = 1 means elsewhere.
 from __future__ import annotations
 
 import json
+import zlib
 from typing import Protocol, runtime_checkable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import text as T
 from ..functions import vectors as V
@@ -315,10 +319,29 @@ def build_model(name: str, at: float = 0.5, trees: int | None = None, vocab: int
     raise ValueError(f"there is no model {name!r}")
 
 
-def encode_distinct(pages: DataFrame, encoder, column: str = "embedding") -> DataFrame:
+@F.arrow_udf(ArrayType(DoubleType()))
+def hashed_encoder(text: pa.Array) -> pa.Array:
+    """A stand-in for a sentence encoder: 384 signed sums of hashed character 3- to 5-grams of the words, scaled to length 1."""
+    out = np.zeros((len(text), 384))
+    for row, t in zip(out, text.to_pylist()):
+        t = " " + " ".join((t or "").lower().split()) + " "
+        for n in (3, 4, 5):
+            for i in range(len(t) - n + 1):
+                h = zlib.crc32(t[i : i + n].encode())
+                row[h % 384] += 1 - 2 * (h >> 31)
+    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * 384), pa.array(out.reshape(-1)))
+
+
+def encode_distinct(pages: DataFrame, encoder=hashed_encoder, column: str = "embedding") -> DataFrame:
     """pages with an embedding of text; encoder is a column function such as a pandas UDF, applied once to each distinct text."""
     known = pages.select(T.truncate(F.col("text")).alias("cut")).distinct().withColumn(column, encoder(F.col("cut")))
     return pages.withColumn("cut", T.truncate(F.col("text"))).join(known, "cut").drop("cut")
 
 
-__all__ = ["MODELS", "EveryPage", "Ensemble", "Model", "NeverSplit", "PairLogistic", "PairTrees", "Smoothed", "Stacked", "TextSimilarity", "TrainableModel", "build_model", "encode_distinct", "load_model"]
+def needs_embedding(name: str) -> bool:
+    """Whether a model of this name reads a column embedding."""
+    return name in ("multilingual-minilm", "ensemble:rich+minilm") or any("embedding" in b for b in _TREES.get(name, ("", ()))[1])
+
+
+__all__ = ["MODELS", "EveryPage", "Ensemble", "Model", "NeverSplit", "PairLogistic", "PairTrees", "Smoothed", "Stacked", "TextSimilarity", "TrainableModel", "build_model", "encode_distinct", "hashed_encoder", "load_model", "needs_embedding"]

@@ -6,6 +6,8 @@ labelled stream is a boundary; in an unlabelled one every boundary is null.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,16 +125,22 @@ def ordinals(pages: DataFrame, *keys: str) -> DataFrame:
     """The distinct keys (stream_id by default) with ord, the place among all in order, from 0, and n_all, their number.
 
     They are cut into ranges at approximate percentiles of the first key and numbered in each; only
-    the ranges' sizes pass through one task. A first key that isn't a number has no percentiles: one task numbers all then.
+    the ranges' sizes pass through one task. Of strings, the seven bytes after the prefix that all share make the number that is cut.
     """
     keys = keys or ("stream_id",)
     rows = pages.select(*keys).distinct()
-    key = keys[0]
-    if dict(rows.dtypes)[key] not in ("bigint", "int", "smallint", "double"):
-        w = W.orderBy(*keys)
-        return rows.withColumn("ord", (F.row_number().over(w) - 1).cast("long")).withColumn("n_all", F.count("*").over(W.partitionBy()))
-    cuts = rows.agg(F.percentile_approx(key, [k / 200 for k in range(1, 200)], 2000).alias("cuts"))
-    ranged = rows.crossJoin(F.broadcast(cuts)).withColumn("part", F.size(F.filter("cuts", lambda c: c <= F.col(key)))).drop("cuts")  # one row of 199 numbers
+    key, kind = keys[0], dict(rows.dtypes)[keys[0]]
+    number = F.col(key)
+    if kind == "string":
+        ends = rows.agg(F.min(key), F.max(key)).first()
+        shared = len(os.path.commonprefix([(x or "").encode() for x in ends]))
+        raw = F.hex(F.substring(F.col(key).cast("binary"), shared + 1, 7))
+        number = F.coalesce(F.conv(F.rpad(raw, 14, "0"), 16, 10).cast("long"), F.lit(-1).cast("long"))
+    elif kind not in ("bigint", "int", "smallint", "double"):
+        raise TypeError(f"rows can't be numbered by {key}, which is {kind}")
+    rows = rows.withColumn("_number", number)
+    cuts = rows.agg(F.percentile_approx("_number", [k / 200 for k in range(1, 200)], 2000).alias("cuts"))
+    ranged = rows.crossJoin(F.broadcast(cuts)).withColumn("part", F.size(F.filter("cuts", lambda c: c <= F.col("_number")))).drop("cuts", "_number")  # one row of 199 numbers
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("n_all", F.sum("n").over(W.partitionBy()))
     placed = ranged.withColumn("ord", F.row_number().over(W.partitionBy("part").orderBy(*keys)) - 1)

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.pages import LAYOUT_SIZE, VISUAL_SIZE
+from ..functions.pages import LAYOUT_SIZE, VISUAL_SIZE, image_features, ocr_layout, ocr_text
+from ..functions.pdf import page_count, page_texts
 from ..functions.vectors import zeros
 from ..operators import streams
 from ..operators.streams import KEY
@@ -47,11 +48,29 @@ class Corpus:
         """pages with text; a page without is an error if strict."""
         return resolve(self.pages, self.text, "text", strict)
 
-    def with_layout(self) -> DataFrame:
-        return with_default(self.pages, self.layout, "layout", LAYOUT_SIZE)
+    @property
+    def has_layout(self) -> bool:
+        return self.layout is not None and not self.layout.isEmpty()
 
-    def with_visual(self) -> DataFrame:
-        return with_default(self.pages, self.visual, "visual", VISUAL_SIZE)
+    @property
+    def has_visual(self) -> bool:
+        return self.visual is not None and not self.visual.isEmpty()
+
+    def with_layout(self, strict: bool = False) -> DataFrame:
+        """pages with layout: zeros where a page has none, or an error if strict."""
+        return self._with("layout", LAYOUT_SIZE, strict)
+
+    def with_visual(self, strict: bool = False) -> DataFrame:
+        """pages with visual features, as with_layout."""
+        return self._with("visual", VISUAL_SIZE, strict)
+
+    def _with(self, column: str, size: int, strict: bool) -> DataFrame:
+        side = getattr(self, column)
+        if not strict:
+            return with_default(self.pages, side, column, size)
+        if side is None:
+            raise ValueError(f"the corpus has no {column} features")
+        return resolve(self.pages, side, column)
 
     def filtered(self, min_pages: int = 1, max_pages: int = 10**9) -> Corpus:
         """Only streams of a length in the bounds, and what belongs to them."""
@@ -152,6 +171,18 @@ def needed_rows(definitions: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(definitions.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
+def described(rows: DataFrame) -> DataFrame:
+    """Page rows with text and layout of a column ocr, and visual features of a column img, where they lack them."""
+    made = rows
+    if "ocr" in rows.columns:
+        for name, f in (("text", ocr_text), ("layout", ocr_layout)):
+            if name not in rows.columns:
+                made = made.withColumn(name, f(F.col("ocr")))
+    if "img" in rows.columns and "visual" not in rows.columns:
+        made = made.withColumn("visual", image_features()(F.col("img")))
+    return made.drop("ocr", "img")
+
+
 def build_corpus(definitions: DataFrame, rows: DataFrame, max_streams: int | None = None) -> Corpus:
     """Streams from definitions (stream_id, doc_ord, doc_id) and page rows (doc_id, pg_id, text and maybe layout, visual, row_ord).
 
@@ -159,7 +190,7 @@ def build_corpus(definitions: DataFrame, rows: DataFrame, max_streams: int | Non
     page the last by row_ord counts (without it the greatest). Streams without a page go; none left is an error.
     """
     definitions = first_streams(definitions, max_streams)
-    rows = needed_rows(definitions, rows)
+    rows = described(needed_rows(definitions, rows))
     rows = last_wins(rows if "row_ord" in rows.columns else rows.withColumn("row_ord", F.struct(*(c for c in rows.columns if c not in ("doc_id", "pg_id")))), ["doc_id", "pg_id"], "row_ord").drop("row_ord")
     w = W.partitionBy("stream_id").orderBy("doc_ord", "pg_id")
     pages = definitions.join(rows.select("doc_id", "pg_id"), "doc_id").select(F.col("stream_id"), (F.row_number().over(w) - 1).cast("long").alias("pos"), F.col("doc_id").cast("string").alias("source"), F.col("pg_id").cast("long").alias("page"), (F.col("pg_id") == 0).alias("boundary"))
@@ -179,14 +210,45 @@ def concat_sources(sources: DataFrame) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
-    """source (path under root without suffix) and content of the files below root."""
+    """source (path under root without suffix), path and content of the files below root."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     base = root.split("://")[-1].rstrip("/") + "/"
     rest = F.substring_index(F.col("path"), base, -1)
     return found.select(F.regexp_replace(rest, r"\.[^./]*$", "").alias("source"), "path", "content")
 
 
-def file_pages(files: DataFrame, parse) -> DataFrame:
+def list_files(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
+    """source and path, in order of path; contents aren't read."""
+    return scan_files(spark, root, pattern).select("source", "path").orderBy("path")
+
+
+def page_counts(files: DataFrame, count=page_count) -> DataFrame:
+    """source and n_pages of files; count tells it from the bytes of one."""
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame({"source": batch["source"], "n_pages": [count(raw) for raw in batch["content"]]})
+
+    return files.select("source", "content").mapInPandas(run, "source string, n_pages long")
+
+
+def file_text(pages: DataFrame, files: DataFrame, parse=page_texts) -> DataFrame:
+    """pages (source, page) with the text of that page of the file named source, with or without a suffix.
+
+    Each file that is asked for is parsed once. A file that isn't there and a page that a file doesn't have are errors.
+    """
+    wanted = pages.select(F.regexp_replace("source", r"\.pdf$", "").alias("source")).distinct()
+    texts = file_pages(files.join(wanted, "source", "left_semi"), parse)
+    sizes = texts.groupBy(F.col("source").alias("_file")).agg(F.count("*").alias("_pages"))
+    out = pages.withColumn("_file", F.regexp_replace("source", r"\.pdf$", ""))
+    out = out.join(sizes, "_file", "left").join(texts.select(F.col("source").alias("_file"), "page", "text"), ["_file", "page"], "left")
+    miss = F.when(F.col("_pages").isNull(), F.concat(F.lit("there is no file "), F.col("source"))).otherwise(F.concat(F.col("source"), F.lit(" has no page "), F.col("page").cast("string")))
+    text = F.when(F.col("text").isNotNull(), F.col("text")).otherwise(F.raise_error(miss).cast("string"))
+    return out.select(*pages.columns, text.alias("text"))
+
+
+def file_pages(files: DataFrame, parse=page_texts) -> DataFrame:
     """source, page, text of files; parse turns the bytes of one into a list of page texts, and is called once a file."""
     import pandas as pd
 

@@ -61,6 +61,52 @@ def test_files_and_concatenation(spark, tmp_path):
         corpus.concat_sources(sizes.withColumn("n_pages", F.lit(0).cast("long"))).collect()
 
 
+def test_pdf_files(spark, tmp_path):
+    from .test_functions import a_pdf
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "y.pdf").write_bytes(a_pdf(["one", "two", "three"]))
+    (tmp_path / "b.pdf").write_bytes(a_pdf(["four"]))
+    assert [r.source for r in corpus.list_files(spark, str(tmp_path)).collect()] == ["b", "in/y"]
+    files = corpus.scan_files(spark, str(tmp_path))
+    assert {(r.source, r.n_pages) for r in corpus.page_counts(files).collect()} == {("b", 1), ("in/y", 3)}
+    pages = lambda *rows: spark.createDataFrame(list(rows), "source string, page long")
+    got = corpus.file_text(pages(("in/y", 2), ("in/y", 0), ("b.pdf", 0), ("in/y", 2)), files).collect()
+    assert sorted((r.source, r.page, r.text.split("\n")[0]) for r in got) == [("b.pdf", 0, "four"), ("in/y", 0, "one"), ("in/y", 2, "three"), ("in/y", 2, "three")]
+    with pytest.raises(Exception, match="no file z"):
+        corpus.file_text(pages(("z", 0)), files).collect()
+    with pytest.raises(Exception, match="b has no page 1"):
+        corpus.file_text(pages(("b", 1)), files).collect()
+
+
+def test_ocr_and_images_become_features(spark):
+    import json
+
+    word = {"Word": "hi"} | {f"{a}{k}": 0.5 for a in "XY" for k in range(1, 5)}
+    rows = spark.createDataFrame([("a", 0, json.dumps({"lines": [word]}), bytearray(b"P5 96 96 255\n" + bytes([255]) * 96 * 96)), ("a", 1, "", None)], "doc_id string, pg_id int, ocr string, img binary")
+    c = corpus.build_corpus(spark.createDataFrame([(1, 0, "a")], "stream_id long, doc_ord long, doc_id string"), rows)
+    assert c.has_layout and c.has_visual and [r.text for r in c.with_text().orderBy("pos").collect()] == ["hi", ""]
+    assert [r.layout[7] for r in c.with_layout(strict=True).orderBy("pos").collect()] == [0.5, 0.0]
+    assert [r.visual[1] for r in c.with_visual(strict=True).orderBy("pos").collect()] == [1.0, 0.0]
+    bare = corpus.Corpus(c.pages, c.text)
+    assert not bare.has_layout and bare.with_visual().where("size(visual) = 17").count() == 2
+    with pytest.raises(ValueError, match="no layout"):
+        bare.with_layout(strict=True)
+    with pytest.raises(Exception, match="no visual for page"):
+        corpus.Corpus(c.pages, c.text, None, c.visual.limit(0)).with_visual(strict=True).collect()
+
+
+def test_strings_are_numbered_in_order(spark):
+    from sheaf.operators import streams
+
+    names = [f"set:/page {k * 37 % 1000}" for k in range(300)] + ["set:", "set:/é", "set:/ page", "set:/page 37 b"]
+    rows = spark.createDataFrame([(n,) for n in names + names[:5]], "stream_id string")
+    got = streams.ordinals(rows)
+    assert [r.stream_id for r in got.orderBy("ord").collect()] == sorted(set(names), key=str.encode)
+    assert [r.ord for r in got.orderBy("ord").collect()] == list(range(len(set(names)))) and got.where("n_all <> 304").isEmpty()
+    assert streams.ordinals(rows.limit(0)).count() == 0 and streams.ordinals(rows.limit(1)).first().ord == 0
+
+
 def test_arrivals(spark, tmp_path):
     rows = [(1, 0, "alpha beta gamma", 0), (1, 1, "alpha beta gamma!", 1), (1, 2, "something else", 2), (2, 0, "zz", 3)]
     df = spark.createDataFrame(rows, "stream_id long, pos long, text string, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 10**9)).drop("s")
