@@ -77,6 +77,49 @@ def needed_docs_semi(spark, d):
     return corpus.needed_rows(first, X.doc_rows(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum(F.length("text")).alias("n_chars"))
 
 
+@query(f"with {X.V2} select source as doc_id, count(*) as n_pages, sum(length(text))::bigint as n_chars from v2 group by source")
+def needed_docs_all(spark, d):
+    rows = corpus.needed_rows(corpus.first_streams(X.doc_definitions(spark, d), None), X.doc_rows(spark, d))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query(f"with {X.V1}, {X.V2} select 'c' || stream_id as stream_id, pos, 'c' || source as source, page, boundary, text from v1 union all select 'd' || stream_id, pos, 'd' || source, page, boundary, text from v2")
+def corpus_concat(spark, d):
+    def named(pages, kind):
+        own = pages.withColumns({c: F.concat(F.lit(kind), F.col(c).cast("string")) for c in ("stream_id", "source")})
+        return corpus.Corpus(own.drop("text"), own.select("source", "page", "text"))
+
+    both = named(X.conv_pages(spark, d), "c").merged(named(X.doc_pages(spark, d), "d"))
+    return both.with_text().select("stream_id", "pos", "source", "page", "boundary", "text")
+
+
+@query(f"with {X.V1} select stream_id::varchar as stream_id, pos, page = 0 or page % 3 = 1 as boundary from v1")
+def truthy_boundaries(spark, d):
+    pages = X.conv_pages(spark, d).withColumn("mark", F.when(F.col("page") == 0, 7).otherwise(F.when(F.col("page") % 3 == 1, -1).otherwise(0)))
+    nested = pages.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("pos", "mark"))).alias("p")).select("stream_id", F.col("p.mark").alias("boundaries"))
+    return corpus.from_rows(nested, "conv").pages.select("stream_id", "pos", "boundary")
+
+
+@query(f"with {X.V1} select stream_id, pos, case when page % 2 = 0 then text end as text from v1")
+def lookup_not_strict(spark, d):
+    pages = X.conv_pages(spark, d)
+    side = pages.where("page % 2 = 0").select("source", "page", "text")
+    return corpus.resolve(pages.drop("text"), side, "text", strict=False).select("stream_id", "pos", "text")
+
+
+@query(f"with {X.V1} select stream_id, pos, boundary, true as replaced from v1")
+def replace_boundaries(spark, d):
+    """Every page a boundary, in place of the true ones (boundary: what it was)."""
+    pages = X.conv_pages(spark, d).drop("text")
+    made = streams.with_boundaries(pages, pages.select("stream_id", "pos", F.lit(True).alias("boundary")))
+    return made.withColumnRenamed("boundary", "replaced").join(pages.select("stream_id", "pos", "boundary"), ["stream_id", "pos"]).select("stream_id", "pos", "boundary", "replaced")
+
+
+@query(f"with {X.V3} select stream_id, pos, prob, pos = 0 or prob > 0.5::double as pred from v3")
+def threshold_pred(spark, d):
+    return decode.threshold(X.event_pages(spark, d).select("stream_id", "pos", "prob"))
+
+
 @query(f"with {X.V1} select stream_id, pos, case when page % 2 = 0 then round(page * 14 / 10.0::double, 9) else 0.0::double end as total from v1")
 def missing_page_default(spark, d):
     pages = X.conv_pages(spark, d)
@@ -410,6 +453,11 @@ def train_test_split(spark, d):
     return streams.split_streams(X.conv_pages(spark, d), 0.8).select("stream_id", "train").distinct()
 
 
+@query("with o as (select source, row_number() over (order by source) - 1 as ord, count(*) over () as n_all from (select distinct 'doc/' || doc_id as source from documents)) select * from o")
+def string_ordinals(spark, d):
+    return streams.ordinals(X.read(spark, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("source")), "source").select("source", "ord", "n_all")
+
+
 @query(f"with {_ORD} select stream_id, ord // (n // 3) as slice_id from o where ord // (n // 3) < 3")
 def slices(spark, d):
     return streams.slice_streams(X.conv_pages(spark, d), 3).select("stream_id", "slice_id").distinct()
