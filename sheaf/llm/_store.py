@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _own = threading.local()  # a thread's scopes, innermost last
@@ -85,6 +86,9 @@ def scratch() -> Iterator:
 
 @atexit.register
 def _leave() -> None:
-    for path, spark in _results.items():
-        if spark.sparkContext._jsc is not None:
-            _delete(spark, path)
+    try:
+        for path, spark in _results.items():
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
+    except Py4JError:  # the JVM went first
+        return
