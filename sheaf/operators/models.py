@@ -85,7 +85,7 @@ class PairTrees:
     beyond that from a sample of whole streams of that size.
     """
 
-    def __init__(self, name: str, blocks: tuple[str, ...] = (), vocab: int = 20_000, trees: int = 100, depth: int = 4, rate: float = 0.1, at: float = 0.5, use_text: bool = True, most_rows: int = 100_000, most_cells: int = 20_000_000):
+    def __init__(self, name: str, blocks: tuple[str, ...] = (), vocab: int = 20_000, trees: int = 100, depth: int = 4, rate: float = 0.1, at: float = 0.5, use_text: bool = True, most_rows: int = 100_000, most_cells: int = 8_000_000):
         self.name, self.blocks, self.vocab_size, self.at, self.use_text = name, blocks, vocab, at, use_text
         self.trees, self.depth, self.rate, self.most_rows, self.most_cells = trees, depth, rate, most_rows, most_cells
         self.model: boosting.Trees | LogisticRegressionModel | None = None
