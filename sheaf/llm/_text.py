@@ -7,6 +7,7 @@ document is never cut, so a chunk is as large as its longest document at least.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,16 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 WORD_KEYS = np.where(SPACE, U64(0), BYTE_KEYS)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system. Python workers go from stage to stage, and would keep what the hungriest one took."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 class Texts:
     """The texts of consecutive rows: data, and where each starts and ends in it."""
 
@@ -55,6 +66,7 @@ def chunks(batch: pa.RecordBatch, most_bytes: int = 4 << 20, most_rows: int = 20
     column = batch.column(batch.schema.get_field_index(text))
     if len(column) == 0:
         return
+    release()
     ends = np.cumsum(texts_of(column).lens)
     at = 0
     while at < len(ends):
@@ -63,6 +75,7 @@ def chunks(batch: pa.RecordBatch, most_bytes: int = 4 << 20, most_rows: int = 20
         to = min(max(to, at + 1), at + most_rows)
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._filters import rows_of, without
 from ._induced import equal_groups, words_at
 from ._store import discard, scratch, written
-from ._text import U64, Texts, chunks, mix, texts_of
+from ._text import U64, Texts, chunks, mix, release, texts_of
 
 GRAM = 24
 
@@ -150,6 +150,7 @@ SPANS = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64())
 
 def _sort_shard(length: int, keep_first: bool):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        release()
         coded = rows.column("raw").combine_chunks().dictionary_encode()
         codes, pieces = coded.indices.to_numpy(), texts_of(coded.dictionary)
         doc, at = rows.column("doc_id").to_numpy(), rows.column("at").to_numpy()
