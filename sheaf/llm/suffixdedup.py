@@ -32,6 +32,7 @@ from ._store import discard, scratch, written
 from ._text import U64, Texts, chunks, mix, release, texts_of
 
 GRAM = 24
+RUNS = 2_000  # looked through at once
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -46,7 +47,12 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of each GRAM-byte string."""
     w = words_at(data)
     n = len(data) - GRAM + 1
-    return mix(mix(w[:n] * U64(0x9E3779B97F4A7C15) + w[8 : 8 + n]) * U64(0xC2B2AE3D27D4EB4F) + w[16 : 16 + n])
+    h = w[:n] * U64(0x9E3779B97F4A7C15)
+    h += w[8 : 8 + n]
+    h = mix(h)
+    h *= U64(0xC2B2AE3D27D4EB4F)
+    h += w[16 : 16 + n]
+    return mix(h)
 
 
 def segments(texts: Texts, length: int) -> tuple[np.ndarray, ...]:
@@ -58,18 +64,21 @@ def segments(texts: Texts, length: int) -> tuple[np.ndarray, ...]:
     least = _sliding_min(grams, length - GRAM + 1)
     n = np.maximum(texts.lens - length + 1, 0)
     keep = n > 0
-    doc = np.repeat(np.flatnonzero(keep), n[keep])
-    local = np.arange(len(doc)) - np.repeat(np.cumsum(n[keep]) - n[keep], n[keep])
+    doc = np.repeat(np.flatnonzero(keep).astype(np.int32), n[keep])
+    local = np.arange(len(doc), dtype=np.int32)
+    local -= np.repeat((np.cumsum(n[keep]) - n[keep]).astype(np.int32), n[keep])
     value = least[texts.bounds[doc] + local]
+    del least
     heads = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])])) if len(doc) else np.zeros(0, np.int64)
-    m, doc, local, n = value[heads], doc[heads], local[heads], np.diff(np.append(heads, len(doc)))
+    m, doc, local, n = value[heads], doc[heads].astype(np.int64), local[heads].astype(np.int64), np.diff(np.append(heads, len(doc)))
+    del value
     twice = np.zeros(len(m), bool)
-    for lo in range(0, len(m), 20_000):
-        size = n[lo : lo + 20_000] + length - GRAM
+    for lo in range(0, len(m), RUNS):
+        size = n[lo : lo + RUNS] + length - GRAM
         ends = np.cumsum(size)
-        begin = texts.bounds[doc[lo : lo + 20_000]] + local[lo : lo + 20_000]
-        same = grams[np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)] == np.repeat(m[lo : lo + 20_000], size)
-        twice[lo : lo + 20_000] = np.add.reduceat(same, ends - size, dtype=np.int32) > 1
+        begin = texts.bounds[doc[lo : lo + RUNS]] + local[lo : lo + RUNS]
+        same = grams[np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)] == np.repeat(m[lo : lo + RUNS], size)
+        twice[lo : lo + RUNS] = np.add.reduceat(same, ends - size, dtype=np.int32) > 1
     return m, doc, local, n, twice
 
 
@@ -94,7 +103,7 @@ def _segment_rows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, 2 << 20):
+            for part in chunks(batch, 1 << 20):
                 texts = texts_of(part.column(1))
                 m, doc, at, n, twice = segments(texts, length)
                 if len(m):
@@ -140,7 +149,10 @@ def _segment_bytes(length: int):
 def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Consecutive places as runs: document, first place, number."""
     order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
+    return _ordered_runs(doc[order], at[order])
+
+
+def _ordered_runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     heads = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)])) if len(at) else np.zeros(0, np.int64)
     return doc[heads], at[heads], np.diff(np.append(heads, len(at)))
 
@@ -148,42 +160,53 @@ def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 SPANS = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64())])
 
 
+def _shard_spans(rows: pa.Table, length: int, keep_first: bool) -> pa.Table:
+    coded = rows.column("raw").combine_chunks().dictionary_encode()
+    codes, pieces = coded.indices.to_numpy(), texts_of(coded.dictionary)
+    doc, at = rows.column("doc_id").to_numpy(), rows.column("at").to_numpy()
+    times = np.bincount(codes, minlength=len(pieces))
+    n = pieces.lens - length + 1
+    first = np.concatenate([[0], np.cumsum(n)])
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), n)
+    local = np.arange(first[-1], dtype=np.int32)
+    local -= first[piece].astype(np.int32)
+    order, same = equal_groups(pieces.data, pieces.bounds[1:], (pieces.bounds[piece] + local).astype(np.int32), length)
+    found = np.repeat(times > 1, n)
+    found[order[same]] = found[order[np.flatnonzero(same) - 1]] = True
+    by_place = np.lexsort((at, doc, codes))
+    lowest = by_place[np.searchsorted(codes[by_place], np.arange(len(pieces)))]  # each piece's first segment
+    own = np.zeros(first[-1], bool)
+    if keep_first and len(order):
+        # of each group of equal strings the one that stands first in the corpus, in its piece's first segment; segments of a document share no place
+        turn = np.empty(len(pieces), np.int64)
+        turn[np.lexsort((at[lowest], doc[lowest]))] = np.arange(len(pieces))
+        stands = turn[piece[order]] * (int(n.max()) + 1)
+        stands += local[order]
+        heads = np.flatnonzero(~same)
+        own[order[stands == np.repeat(np.minimum.reduceat(stands, heads), np.diff(np.append(heads, len(order))))]] = True
+        del stands, heads
+    del order, same
+    # runs within the pieces, then for each segment with that piece
+    p, a, k = _ordered_runs(piece[found], local[found])
+    order = np.argsort(codes, kind="stable")
+    lo, size = np.searchsorted(codes[order], p), times[p]
+    each = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    seg = order[np.repeat(lo, size) + each]
+    a, k = np.repeat(a, size), np.repeat(k, size)
+    if keep_first:
+        others = seg != lowest[codes[seg]]
+        found &= ~own
+        p, b, m = _ordered_runs(piece[found], local[found])
+        seg, a, k = np.concatenate([seg[others], lowest[p]]), np.concatenate([a[others], b]), np.concatenate([k[others], m])
+    return pa.Table.from_arrays([pa.array(doc[seg]), pa.array(at[seg] + a), pa.array(k)], schema=SPANS)
+
+
 def _sort_shard(length: int, keep_first: bool):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         release()
-        coded = rows.column("raw").combine_chunks().dictionary_encode()
-        codes, pieces = coded.indices.to_numpy(), texts_of(coded.dictionary)
-        doc, at = rows.column("doc_id").to_numpy(), rows.column("at").to_numpy()
-        times = np.bincount(codes, minlength=len(pieces))
-        n = pieces.lens - length + 1
-        first = np.concatenate([[0], np.cumsum(n)])
-        piece, local = np.repeat(np.arange(len(pieces)), n), np.arange(first[-1]) - np.repeat(first[:-1], n)
-        order, same = equal_groups(pieces.data, pieces.bounds[1:], pieces.bounds[piece] + local, length)
-        found = np.repeat(times > 1, n)
-        found[order[same]] = found[order[np.flatnonzero(same) - 1]] = True
-        by_place = np.lexsort((at, doc, codes))
-        lowest = by_place[np.searchsorted(codes[by_place], np.arange(len(pieces)))]  # each piece's first segment
-        spared = np.zeros(0, np.int64)
-        if keep_first:
-            # of each group of equal strings the one that stands first in the corpus, in its piece's first segment
-            group = np.cumsum(~same)
-            seg = lowest[piece[order]]
-            by_group = np.lexsort((at[seg] + local[order], doc[seg], group))
-            spared = order[by_group[np.append(True, group[by_group][1:] != group[by_group][:-1])[: len(order)]]]
-        # runs within the pieces, then for each segment with that piece
-        p, a, k = _runs(piece[found], local[found])
-        order = np.argsort(codes, kind="stable")
-        lo, size = np.searchsorted(codes[order], p), times[p]
-        each = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        seg = order[np.repeat(lo, size) + each]
-        a, k = np.repeat(a, size), np.repeat(k, size)
-        if keep_first:
-            own = np.zeros(first[-1], bool)
-            own[spared] = True
-            others = seg != lowest[codes[seg]]
-            p, b, m = _runs(piece[found & ~own], local[found & ~own])
-            seg, a, k = np.concatenate([seg[others], lowest[p]]), np.concatenate([a[others], b]), np.concatenate([k[others], m])
-        return pa.Table.from_arrays([pa.array(doc[seg]), pa.array(at[seg] + a), pa.array(k)], schema=SPANS)
+        spans = _shard_spans(rows, length, keep_first)
+        release()
+        return spans
 
     return run
 

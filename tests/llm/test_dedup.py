@@ -1,8 +1,12 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sheaf.llm import _components, ngramjoin, substrdedup, suffixdedup
 from sheaf.llm._induced import suffix_order
+from sheaf.llm._text import Texts
 
 from .brute import WORD, left, repeats, sha, similar
 
@@ -41,6 +45,25 @@ def test_suffix_dedup(corpus, texts, most, keep_first):
     assert sum(w[1] for w in want.values()) > 1500
 
 
+def test_suffix_dedup_memory():
+    """The arrays of a chunk's segments and of a shard's sort stay under so many bytes for each byte of text, all of it distinct."""
+    data = np.random.default_rng(4).integers(97, 117, 1 << 20).astype(np.uint8)
+    raw = [data[i : i + 300].tobytes() for i in range(0, len(data) - 299, 300)]
+    shard = pa.table({"doc_id": np.arange(len(raw)), "at": np.zeros(len(raw), np.int64), "raw": pa.array(raw, pa.binary())})
+
+    def peak(f, *args):
+        tracemalloc.start()
+        try:
+            f(*args)
+            return tracemalloc.get_traced_memory()[1] / len(data)
+        finally:
+            tracemalloc.stop()
+
+    assert peak(suffixdedup.segments, Texts(data, np.arange(0, len(data) + 1, 4096)), 200) < 50
+    for keep_first in (False, True):
+        assert peak(suffixdedup._sort_shard(200, keep_first), (), shard) < 40
+
+
 def test_cleaned_keeps_columns(corpus):
     left = suffixdedup.cleaned(corpus)
     assert left.columns == corpus.columns and left.where("doc_id is null").count() == 1
