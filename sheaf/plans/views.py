@@ -50,10 +50,11 @@ v2 as (select doc_id // 10 as stream_id, row_number() over (partition by doc_id
 
 
 def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's events in order: true boundaries after 6 hours' rest, predicted ones by kind, and a probability."""
+    """A user's events in order: true boundaries after 6 hours' rest in whole seconds of the clock, predicted ones by kind, and a probability."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     e = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts", F.lag("ts").over(w).alias("before"), (F.row_number().over(w) - 1).cast("long").alias("pos"))
-    truth = (F.col("pos") == 0) | (F.expr("timestampdiff(SECOND, before, ts)") > 21600)
+    clock = lambda c: F.expr(f"(cast({c} as timestamp_ntz) - timestamp_ntz'1970-01-01') div interval '1' second")
+    truth = (F.col("pos") == 0) | (clock("ts") - clock("before") > 21600)
     pred = (F.col("pos") == 0) | F.col("event_type").isin("click", "view", "error")
     prob = F.when(F.col("pos") == 0, 1.0).otherwise(((F.col("event_id") * 7919) % 997 + 1) / F.lit(1000.0))
     return e.select(F.col("user_id").alias("stream_id"), "pos", truth.alias("truth"), pred.alias("pred"), prob.alias("prob"))
