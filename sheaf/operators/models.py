@@ -81,13 +81,12 @@ class PairTrees:
     """Gradient-boosted trees over TF-IDF of a page and the one before, and more features of the pair.
 
     blocks: any of page (the 8 page features), layout (with their cosine), layout_pairs, position, cross, embedding
-    (pairs), embedding_cosine, visual. Learns from all labelled pages up to most_rows pages and most_cells values,
-    beyond that from a sample of whole streams of that size.
+    (pairs), embedding_cosine, visual. Learns from all labelled pages.
     """
 
-    def __init__(self, name: str, blocks: tuple[str, ...] = (), vocab: int = 20_000, trees: int = 100, depth: int = 4, rate: float = 0.1, at: float = 0.5, use_text: bool = True, most_rows: int = 100_000, most_cells: int = 8_000_000):
+    def __init__(self, name: str, blocks: tuple[str, ...] = (), vocab: int = 20_000, trees: int = 100, depth: int = 4, rate: float = 0.1, at: float = 0.5, use_text: bool = True):
         self.name, self.blocks, self.vocab_size, self.at, self.use_text = name, blocks, vocab, at, use_text
-        self.trees, self.depth, self.rate, self.most_rows, self.most_cells = trees, depth, rate, most_rows, most_cells
+        self.trees, self.depth, self.rate = trees, depth, rate
         self.model: boosting.Trees | LogisticRegressionModel | None = None
         self.vocab: DataFrame | None = None
 
@@ -137,16 +136,11 @@ class PairTrees:
             rows = tfidf.vocabulary(counts, cut.count(), self.vocab_size).collect()  # vocab_size rows at most
             schema = "term string, total long, df long, idf double, idx int"
             self.vocab = pages.sparkSession.createDataFrame(rows, schema)
-        data = self.features(pages).withColumn("label", F.col("boundary").cast("double")).persist()
-        try:
-            self.model = self._learn(data)
-        finally:
-            data.unpersist()
+        self.model = self._learn(self.features(pages).withColumn("label", F.col("boundary").cast("double")), pages.count())
         return self
 
-    def _learn(self, data: DataFrame):
-        rows = boosting.sample(data, self.most_rows, self.most_cells)
-        return boosting.Trees(self.trees, self.depth, self.rate).fit(boosting.rows_of(rows, 2 * self.vocab_size), rows.column("label").to_numpy())
+    def _learn(self, data: DataFrame, rows: int):
+        return boosting.learned(data, boosting.Trees(self.trees, self.depth, self.rate), 2 * self.vocab_size, rows)
 
     def _scored(self, pages: DataFrame) -> DataFrame:
         return boosting.scored(self.features(pages), self.model, 2 * self.vocab_size, *KEY)
@@ -180,9 +174,12 @@ class PairLogistic(PairTrees):
     def _vectors(self, data: DataFrame) -> DataFrame:
         return data.withColumn("features", array_to_vector(F.col("dense")))
 
-    def _learn(self, data: DataFrame):
-        n = max(1, data.count())
-        return LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000).fit(compact(self._vectors(data)))
+    def _learn(self, data: DataFrame, rows: int):
+        data = data.persist()
+        try:
+            return LogisticRegression(regParam=1.0 / max(1, data.count()), elasticNetParam=0.0, standardization=False, maxIter=1000).fit(compact(self._vectors(data)))
+        finally:
+            data.unpersist()
 
     def _scored(self, pages: DataFrame) -> DataFrame:
         return self.model.transform(self._vectors(self.features(pages))).select(*KEY, vector_to_array("probability")[1].alias("prob"))

@@ -175,6 +175,29 @@ def test_boosting_against_plain_python():
     assert np.allclose(boosting.Trees(2, 3, 0.3).fit(none, np.array([0.0, 1.0])).predict(none), 0.5)
 
 
+def test_tasks_learn_what_one_process_learns(spark):
+    r = np.random.default_rng(1)
+    rows = [(int(s), p, sorted(r.choice(50, 12, replace=False).tolist()), r.random(12).round(2).tolist(), r.random(3).round(3).tolist()) for s in range(70) for p in range(1, 5)]
+    rows = [(*x, float((x[2][0] < 2) ^ (x[4][1] > 0.6))) for x in rows]
+    frame = spark.createDataFrame(rows, "stream_id long, pos long, idx array<int>, val array<double>, dense array<double>, label double")
+    want = boosting.Trees(4, 3, 0.3)
+    whole = frame.repartition(1, "stream_id").sortWithinPartitions("stream_id", "pos").toArrow()
+    want.fit(boosting.rows_of(whole, 50), whole.column("label").to_numpy())
+    for tasks in (1, 3):
+        got = boosting.learned(frame, boosting.Trees(4, 3, 0.3), 50, len(rows), tasks)
+        assert (got.feature == want.feature).all() and np.allclose(got.cut, want.cut) and np.allclose(got.leaf, want.leaf)
+        assert (got.missing_left == want.missing_left).all()
+    assert (want.feature >= 0).any()
+
+
+def test_trees_learn_from_every_page(spark):
+    """A tree without a split tells how many pages it learned from, here with over 8 million values."""
+    pages = spark.range(600).selectExpr("id div 6 as stream_id", "id % 6 as pos", "id % 3 = 0 as boundary", "transform(sequence(1, 4000), x -> 1.0D + (x + id) % 7) as embedding")
+    m = models.PairTrees("one", ("embedding",), trees=1, depth=0, rate=1.0, use_text=False).fit(pages)
+    n, hits = 500, 100
+    assert m.model.leaf[0, 0] == pytest.approx(-(0.5 * n - hits) / (0.25 * n + 1))
+
+
 def test_walk_forward(learnable):
     sliced = streams.slice_streams(learnable, 3).withColumn("slice_name", F.concat(F.lit("q"), "slice_id"))
     rows = evaluate.walk_forward([models.EveryPage(), models.Smoothed(models.TextSimilarity())], sliced)
