@@ -119,8 +119,7 @@ class PairTrees:
                 raise ValueError(f"there are no {block} features")
         sparse = F.array().cast("array<struct<idx:int,weight:double>>")
         if self.use_text:
-            found = tfidf.cells(base.select(*KEY, T.truncate(F.col("text")).alias("cut")), self.vocab, *KEY, text="cut")
-            base = base.join(found, KEY, "left").withColumn("cells", F.coalesce("cells", sparse))
+            base = base.withColumn("cells", tfidf.cells(T.truncate(F.col("text")), self.vocab.collect()))  # vocab_size rows at most
             shifted = F.transform("cells", lambda c: F.struct((c["idx"] + self.vocab_size).alias("idx"), c["weight"].alias("weight")))
             sparse = F.concat(F.lag("cells").over(w), shifted)
         dense = F.concat(*arrays) if arrays else F.array().cast("array<double>")
@@ -131,11 +130,8 @@ class PairTrees:
     def fit(self, pages: DataFrame) -> PairTrees:
         streams.require_streams(pages, labelled=True)
         if self.use_text:
-            cut = pages.select(*KEY, T.truncate(F.col("text")).alias("text"))
-            counts = tfidf.counted(cut, *KEY)
-            rows = tfidf.vocabulary(counts, cut.count(), self.vocab_size).collect()  # vocab_size rows at most
-            schema = "term string, total long, df long, idf double, idx int"
-            self.vocab = pages.sparkSession.createDataFrame(rows, schema)
+            rows = tfidf.vocabulary(pages.select(T.truncate(F.col("text")).alias("text")), self.vocab_size)
+            self.vocab = pages.sparkSession.createDataFrame(rows, tfidf.VOCABULARY)
         self.model = self._learn(self.features(pages).withColumn("label", F.col("boundary").cast("double")), pages.count())
         return self
 

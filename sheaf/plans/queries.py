@@ -416,23 +416,25 @@ _TF = (
 )
 
 
-def _tfidf(spark, d) -> DataFrame:
+def _tfidf(spark, d) -> tuple[DataFrame, list]:
+    """Pages with cells, and the vocabulary."""
     pages = X.doc_pages(spark, d)
-    counts = tfidf.counted(pages, "stream_id", "pos")
-    return tfidf.weights(counts, tfidf.vocabulary(counts, pages.count(), 2000), "stream_id", "pos")
+    vocab = tfidf.vocabulary(X.doc_rows(spark, d), 2000)
+    return pages.select("stream_id", "pos", tfidf.cells(F.col("text"), vocab).alias("cells")), vocab
 
 
 @query(f"with {_TF} select stream_id, pos, term, round(weight, 9) as weight from wt")
 def tfidf_weights(spark, d):
-    return _tfidf(spark, d).select("stream_id", "pos", "term", r9("weight", "weight"))
+    pages, vocab = _tfidf(spark, d)
+    terms = F.broadcast(spark.createDataFrame([(r["idx"], r["term"]) for r in vocab], "idx int, term string"))  # 2,000 rows
+    return pages.select("stream_id", "pos", F.explode("cells").alias("c")).select("stream_id", "pos", "c.*").join(terms, "idx").select("stream_id", "pos", "term", r9("weight", "weight"))
 
 
 @query(f"with {_TF}, c as (select b.stream_id, b.pos, sum(a.weight * b.weight) as cosine from wt a join wt b on a.stream_id = b.stream_id and a.pos + 1 = b.pos and a.term = b.term group by all) select v2.stream_id, v2.pos, round(coalesce(cosine, 0), 9) as cosine from v2 left join c using (stream_id, pos) where v2.pos >= 1")
 def tfidf_pair_cosine(spark, d):
-    w = _tfidf(spark, d)
-    before = w.select("stream_id", (F.col("pos") + 1).alias("pos"), "term", F.col("weight").alias("prev"))
-    c = w.join(before, ["stream_id", "pos", "term"]).groupBy("stream_id", "pos").agg(F.sum(F.col("weight") * F.col("prev")).alias("cosine"))
-    return X.doc_pages(spark, d).where("pos >= 1").select("stream_id", "pos").join(c, ["stream_id", "pos"], "left").select("stream_id", "pos", r9(F.coalesce("cosine", F.lit(0.0)), "cosine"))
+    pages, _ = _tfidf(spark, d)
+    both = pages.withColumn("prev", F.lag("cells").over(streams.in_order())).where("pos >= 1")
+    return both.select("stream_id", "pos", r9(tfidf.cosine(F.col("prev"), F.col("cells")), "cosine"))
 
 
 # corpora and splits
