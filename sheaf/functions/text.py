@@ -74,21 +74,20 @@ def page_features(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     n = F.length(t).cast("double")
     count = lambda p: F.regexp_count(t, F.lit(p)).cast("double")
-    words, alpha = count(WORD), count(r"\p{L}")
+    # characters of a class are what goes with its runs: counting matches would make a string of each
+    chars = lambda c: n - F.length(F.regexp_replace(t, f"[{c}]+", "")).cast("double")
     line = F.regexp_extract(t, r"^[^\n\r\x0B\f\x1C-\x1E\x85\x{2028}\x{2029}]*", 0)
     first = F.length(F.when(F.instr(t, "\n") > 0, line).otherwise(F.left(t, F.lit(100))))
     one = F.lit(1.0)
-    values = [
-        F.log1p(n),
-        words / F.greatest(n, one) * 100,
-        F.when(words > 0, n / F.greatest(words, one)).otherwise(0.0),
-        alpha / F.greatest(n, one),
-        count(r"\p{Nd}") / F.greatest(n, one),
-        count(r"\p{IsUppercase}") / F.greatest(alpha, one),
-        count(r"[.,;:!?\-/]") / F.greatest(n, one),
-        first / F.greatest(n, one),
-    ]
-    return F.when(n == 0, F.array_repeat(F.lit(0.0), 8)).otherwise(F.array(*values))
+    found = {"n": n, "words": count(WORD), "alpha": chars(r"\p{L}"), "digits": chars(r"\p{Nd}"), "upper": chars(r"\p{IsUppercase}"), "punct": chars(r".,;:!?\-/"), "first": first}
+
+    def values(c: Column) -> Column:
+        share = lambda k: c[k] / F.greatest(c["n"], one)
+        per_word = F.when(c["words"] > 0, c["n"] / F.greatest(c["words"], one)).otherwise(0.0)
+        return F.array(F.log1p(c["n"]), share("words") * 100, per_word, share("alpha"), share("digits"), c["upper"] / F.greatest(c["alpha"], one), share("punct"), share("first"))
+
+    # each count is made once, however often it is used
+    return F.when(n == 0, F.array_repeat(F.lit(0.0), 8)).otherwise(let(F.struct(*(v.alias(k) for k, v in found.items())), values))
 
 
 def cross_features(prev: Column, curr: Column) -> Column:

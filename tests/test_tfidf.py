@@ -45,3 +45,14 @@ def test_terms_of_pages_are_not_shuffled(spark):
         plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         moved = plan.count("Exchange hashpartitioning")
         assert moved == plan.count("Exchange hashpartitioning(stream_id") <= 2 and "Aggregate" not in plan and "SortMergeJoin" not in plan
+
+
+def test_page_features_count_each_class_once(spark):
+    """A count that two features use is one expression, not one for each."""
+    from sheaf.functions import text as T
+
+    frame = spark.createDataFrame([("Ab 1.",), ("",), (None,)], "text string").select(T.page_features(F.col("text")).alias("f"))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("{L}") == 2 and plan.count("IsUppercase") == 1  # words and letters
+    got = [r["f"] for r in frame.collect()]
+    assert got[0] == pytest.approx([math.log(6), 40, 2.5, 0.4, 0.2, 0.5, 0.2, 1]) and got[1] == got[2] == [0.0] * 8
